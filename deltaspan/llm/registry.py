@@ -1,9 +1,13 @@
 """Queries of the corpus operators and, where SQL can express them, their SQL."""
 
-from deltaspan.llm import token_output
+from deltaspan.llm import mixing, pieces, token_output
 
 QUERIES = {
     "op3_token_output": token_output.op3_token_output,
+    "op4_mixing": mixing.op4_mixing,
+    "op7_pieces": pieces.op7_pieces,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_mixing": mixing.ORACLE,
+}
