@@ -9,7 +9,7 @@ exponential keys -ln(u)/weight, as long as the running sum of sizes, counted to
 a document's middle, stays within the rest.
 
 A source may hold a third of all rows, so no source is sorted in one task: keys
-are cut into buckets of some thousand rows, running sums go over buckets first
+are cut into buckets of some hundred rows, running sums go over buckets first
 and inside each bucket then. What comes out is one cut (key, id, size) per
 source, so texts are never shuffled or sorted.
 """
@@ -25,7 +25,7 @@ from deltaspan.llm.common import WORD, checkpoint
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 SEED = "mix1"
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 512
 
 
 def size_of(text: Column) -> Column:
