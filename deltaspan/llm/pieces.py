@@ -11,7 +11,8 @@ cut there, and each distinct part meets the agenda once per worker. In
 vocabularies where the space mark only starts a piece, texts may be cut before
 each run of marks.
 
-Every Arrow batch is checked against the sentencepiece library: where ids or
+Arrow batches are checked against the sentencepiece library: it encodes every
+chunk that is new in a batch and one text of the batch as a whole. Where ids or
 decoded text differ, the library's result is returned and `agrees` is false.
 """
 
@@ -161,13 +162,19 @@ class Vocabulary:
 
 
 class Encoder:
-    """Remembers chunks and their parts, up to a bound each; then it starts anew."""
+    """Remembers the chunks and parts of a vocabulary with a dummy prefix, up to a bound each; then it starts anew.
 
-    def __init__(self, model: bytes, check: bool = True, limit: int = 300_000):
+    Chunks are kept without the mark that leads them, their ids as decimals.
+    Decoded text is kept only where it isn't the chunk with spaces for marks.
+    """
+
+    def __init__(self, model: bytes, check: bool = True, limit: int = 700_000, limit_chars: int = 12_000_000):
         self.vocabulary = Vocabulary.load(model)
-        self.limit = limit
-        self.by_chunk: dict[str, tuple[bytes, bytes, str]] = {}
+        self.limit, self.limit_chars, self.chars = limit, limit_chars, 0
+        self.ids: dict[str, bytes] = {}
         self.by_part: dict[str, list[int]] = {}
+        self.decoded: dict[str, str] = {}
+        self.disagree: set[str] = set()
         self.library = None
         if check:
             import sentencepiece
@@ -179,43 +186,73 @@ class Encoder:
         if found is None:
             found = self.vocabulary.agenda(part)
             if len(part) <= 64:
-                if len(self.by_part) >= self.limit:
+                if len(self.by_part) >= self.limit // 4:
                     self.by_part.clear()
                 self.by_part[part] = found
         return found
 
-    def chunk(self, chunk: str) -> tuple[bytes, bytes, str]:
-        found = self.by_chunk.get(chunk)
-        if found is None:
-            ids = [i for p in self.vocabulary.parts(chunk) for i in self.part(p)]
-            found = (np.array(ids, "<u4").tobytes(), ",".join(map(str, ids)).encode(), self.vocabulary.raw(ids))
-            if len(chunk) <= 64:
-                if len(self.by_chunk) >= self.limit:
-                    self.by_chunk.clear()
-                self.by_chunk[chunk] = found
-        return found
-
-    def encode(self, text: str) -> tuple[bytes, bytes, str]:
-        """Ids as little-endian u32 and as decimals, and the decoded text."""
-        v, chunk = self.vocabulary, self.chunk
-        found = [chunk(c) for c in v.chunks(text)]
-        decoded = "".join([x[2] for x in found])
-        if v.dummy_prefix and decoded[:1] == " ":
-            decoded = decoded[1:]
-        return b"".join([x[0] for x in found]), b",".join([x[1] for x in found]), decoded
-
-    def batch(self, texts: list[str]) -> Iterator[tuple[bytes, bytes, str, bool]]:
-        own = [self.encode(t) for t in texts]
-        if self.library is None:
-            for x in own:
-                yield (*x, True)
+    def keys(self, text: str) -> list[str]:
+        """The chunks of a text without their leading marks."""
+        if not text:
+            return []
+        if self.vocabulary.marks_lead and MARK not in text and "  " not in text and text[0] != " " and text[-1] != " ":
+            return text.split(" ")
+        return [c[1:] for c in self.vocabulary.chunks(text)]
+
+    def learn(self, new: list[str]) -> None:
+        """Add distinct chunks that aren't known."""
+        self.chars += sum(map(len, new))
+        found = [[i for p in self.vocabulary.parts(MARK + k) for i in self.part(p)] for k in new]
+        if self.library is not None:
+            for n, (key, ids) in enumerate(zip(new, self.library.encode([k.replace(MARK, " ") for k in new], num_threads=1))):
+                if ids != found[n]:
+                    found[n] = ids
+                    self.disagree.add(key)
+        for key, ids in zip(new, found):
+            self.ids[key] = ",".join(map(str, ids)).encode()
+            text = self.vocabulary.raw(ids)
+            if text != " " + key.replace(MARK, " "):
+                self.decoded[key] = text
+
+    def batch(self, texts: list[str]) -> Iterator[tuple[bytes, str, bool]]:
+        """Ids as decimals, the decoded text, and whether the library agrees, of each text.
+
+        The library encodes every chunk that is new in the batch, and the
+        batch's first text as a whole.
+        """
+        if not self.vocabulary.dummy_prefix:
+            for text in texts:
+                ids = [i for c in self.vocabulary.chunks(text) for p in self.vocabulary.parts(c) for i in self.part(p)]
+                yield self.agreed(text, ",".join(map(str, ids)).encode(), self.vocabulary.decode(ids), self.library is not None)
             return
-        for x, ids in zip(own, self.library.encode(texts, num_threads=1)):
-            data, decoded = np.array(ids, "<u4").tobytes(), self.library.decode(ids)
-            if data == x[0] and decoded == x[2]:
-                yield (*x, True)
+        if len(self.ids) > self.limit or self.chars > self.limit_chars:
+            for held in (self.ids, self.decoded, self.disagree):
+                held.clear()
+            self.chars = 0
+        cut = [self.keys(t) for t in texts]
+        found = [list(map(self.ids.get, keys)) for keys in cut]
+        gaps = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
+        new = {keys[i] for keys, gap in zip(cut, gaps) for i in gap}
+        if new:
+            self.learn(list(new))
+        for n, (text, keys, known, gap) in enumerate(zip(texts, cut, found, gaps)):
+            for i in gap:
+                known[i] = self.ids[keys[i]]
+            ids = b",".join(known)
+            if self.decoded and not self.decoded.keys().isdisjoint(keys):
+                decoded = "".join([self.decoded.get(k, " " + k.replace(MARK, " ")) for k in keys])[1:]
             else:
-                yield data, ",".join(map(str, ids)).encode(), decoded, False
+                decoded = " ".join(keys).replace(MARK, " ")
+            ids, decoded, same = self.agreed(text, ids, decoded, n == 0 and self.library is not None)
+            yield ids, decoded, same and not (self.disagree and not self.disagree.isdisjoint(keys))
+
+    def agreed(self, text: str, ids: bytes, decoded: str, check: bool) -> tuple[bytes, str, bool]:
+        if check:
+            found = self.library.encode(text)
+            wanted = ",".join(map(str, found)).encode(), self.library.decode(found)
+            if wanted != (ids, decoded):
+                return (*wanted, False)
+        return ids, decoded, True
 
 
 _WORKER: dict = {}
@@ -240,13 +277,13 @@ def encode_documents(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", t
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 n, ids_sha, text_sha, agrees, ids, texts = [], [], [], [], [], []
-                for data, decimals, decoded, same in encoder.batch([t or "" for t in part.column(1).to_pylist()]):
-                    n.append(len(data) // 4)
+                for decimals, decoded, same in encoder.batch([t or "" for t in part.column(1).to_pylist()]):
+                    n.append(decimals.count(b",") + 1 if decimals else 0)
                     ids_sha.append(hashlib.sha256(decimals).hexdigest())
                     text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
                     agrees.append(same)
                     if with_ids:
-                        ids.append(np.frombuffer(data, "<u4").astype(np.int32))
+                        ids.append(np.array(decimals.split(b",") if decimals else [], np.int32))
                         texts.append(decoded)
                 columns = [part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha), pa.array(agrees, pa.bool_())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees"]

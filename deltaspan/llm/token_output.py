@@ -20,6 +20,7 @@ is repeated and only committed segments are ever read.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -62,7 +63,7 @@ def encode_block(values: np.ndarray, percentile: float) -> bytes:
     low = int(values.min())
     rest = values - np.uint32(low)
     need = _widths(rest)
-    width = int(np.quantile(need, percentile, method="higher"))
+    width = int(np.searchsorted(np.cumsum(np.bincount(need, minlength=33)), percentile * len(values)))
     over = np.flatnonzero(need > width)
     high = (rest[over].astype(np.uint64) >> np.uint64(width)).astype(np.uint32)
     high_width = int(_widths(high).max()) if len(high) else 0
@@ -123,67 +124,89 @@ class Segment:
 class _Ids(dict):
     """Little-endian u32 ids of a piece of text, from the library once for each distinct piece.
 
-    The cache starts anew at `limit` pieces, so its memory is bounded whatever the vocabulary.
+    A piece is a word that a space precedes (kept without the space), or a line
+    feed and the word behind it. New pieces go to the library as one text and
+    come apart where an id begins with a space or a line feed, which are only
+    found at the start of a piece. The cache starts anew at `limit` pieces or
+    `limit_chars` characters, so its memory is bounded whatever the vocabulary.
     """
 
-    def __init__(self, model: str, limit: int = 400_000):
+    def __init__(self, model: str, limit: int = 600_000, limit_chars: int = 12_000_000):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = True
-        self.limit = limit
-
-    def encode(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def learn(self, pieces: list[str]) -> None:
-        new = list({p for p in pieces if p not in self})
-        if len(self) + len(new) > self.limit:
+        self.limit, self.limit_chars, self.chars = limit, limit_chars, 0
+        self.starts = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.starts[i] = piece[:1] in ("Ġ", "Ċ")  # the byte-level names of space and line feed
+        probe = [self.whole(x) for x in ("\na", "a", " a b\nc", " a", " b", "\nc")]
+        line = self.whole("\n")
+        #: False for tokenizers that don't cut before spaces and around line feeds; texts are then encoded whole.
+        self.cuts = probe[0] == line + probe[1] and probe[2] == b"".join(probe[3:]) and len(line) == 4
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, new: list[str]) -> None:
+        """Add distinct pieces that aren't known."""
+        joined = "".join([p if p[0] == "\n" else " " + p for p in new])
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(self.starts[ids]).tolist()
+        if len(at) != len(new) or at[0]:
+            raise ValueError("a piece has several starts")
+        data = ids.tobytes()
+        self.update(zip(new, [data[4 * a : 4 * b] for a, b in zip(at, at[1:] + [len(ids)])]))
+        self.chars += len(joined)
+
+    def trim(self) -> None:
+        if len(self) > self.limit or self.chars > self.limit_chars:
             self.clear()
-            new = list(set(pieces))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            self.update(zip(part, self.encode(part)))
-
+            self.chars = 0
 
-def split_at_spaces(text: str) -> list[str] | None:
-    """The text in pieces that the byte-level tokenizer treats alone, or None where that isn't sure.
 
-    Its first step cuts before a space that a visible character follows, so
-    words with one space in front are encoded alone, if white space never
-    meets white space.
-    """
-    pieces = text.split(" ")
-    if "" in pieces or text != text.strip() or not _PLAIN(text):
-        return None
-    return pieces[:1] + [" " + p for p in pieces[1:]]
+#: White space other than space and line feed, and characters on which libraries differ about white space.
+_ODD = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
 
-def _plain():
-    import re
-
-    # Other white space next to white space, or characters on which libraries differ about white space.
-    odd = re.compile(r"[\t-\r][ \t-\r]| [\t-\r]|[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
-    return lambda text: odd.search(text) is None
+def split_pieces(text: str) -> list[str] | None:
+    """The text in pieces that the tokenizer's first step cuts apart, or None where white space meets white space."""
+    if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _ODD.search(text):
+        return None
+    pieces = text.replace("\n", " \n").split(" ")
+    pieces[0] = "\n" + pieces[0]  # the line feed's id is dropped again
+    return pieces
 
 
-_PLAIN = _plain()
 _WORKER: dict = {}
 
 
 def encode_texts(texts: list[str], ids: _Ids) -> list[bytes]:
-    cut = [split_at_spaces(t) for t in texts]
+    """The ids of each text, as the library gives them for the whole text."""
     out: list[bytes] = []
     for at in range(0, len(texts), 256):
-        group = cut[at : at + 256]
-        ids.learn([p for pieces in group if pieces for p in pieces])
-        for text, pieces in zip(texts[at : at + 256], group):
-            out.append(ids.encode([text])[0] if pieces is None else b"".join(map(ids.__getitem__, pieces)))
+        ids.trim()
+        cut = [split_pieces(t) if ids.cuts else None for t in texts[at : at + 256]]
+        found = [list(map(ids.get, p)) if p else [] for p in cut]
+        gaps = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
+        new = {p[i] for p, g in zip(cut, gaps) for i in g}
+        if new:
+            ids.learn(list(new))
+        for text, pieces, known, gap in zip(texts[at : at + 256], cut, found, gaps):
+            if pieces is None:
+                out.append(ids.whole(text))
+                continue
+            for i in gap:
+                known[i] = ids[pieces[i]]
+            known[0] = known[0][4:]
+            out.append(b"".join(known))
     return out
 
 
-def write_ids(spark: SparkSession, docs: DataFrame, tokenizer_json: str, path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, block_size: int = 1024, percentile: float = 0.9, segment_ids: int = 4_000_000) -> None:
+def write_ids(spark: SparkSession, docs: DataFrame, tokenizer_json: str, path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, block_size: int = 1024, percentile: float = 0.9, segment_ids: int = 1_000_000) -> None:
     """Write all ids of `docs` in ascending `id_col` order as segments beneath `path`.
 
     Null texts are empty (they yield the end id alone); null ids sort first;
