@@ -6,10 +6,14 @@ import os
 import tempfile
 import threading
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 PACKAGE = Path(__file__).resolve().parent.parent
 #: Words everywhere: maximal runs outside the six ASCII white-space characters.
@@ -66,3 +70,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def chosen(df: DataFrame, id_col: str, limit: int, seed: str) -> DataFrame:
     """At most `limit` rows, those with the smallest hash of id: the same rows on every run."""
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), F.col(id_col)).limit(limit)
+
+
+def with_scores(docs: DataFrame, text_col: str, scores: Callable[[list[str]], np.ndarray], batch: int) -> DataFrame:
+    """row_ (each row of `docs` as a struct, whatever its columns' names) and score_ of its whole text (null: empty)."""
+    ship(docs.sparkSession)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for full in batches:
+            for at in range(0, full.num_rows, batch):
+                part = full.slice(at, batch)
+                found = scores([t or "" for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.float64())], ["row_", "score_"])
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), F.col(f"`{text_col}`").cast("string").alias("text_"))
+    return rows.mapInArrow(scored, StructType([rows.schema["row_"], StructField("score_", DoubleType())]))

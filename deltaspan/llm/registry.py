@@ -1,10 +1,13 @@
 """Queries of the corpus operators and, where SQL can express them, their SQL."""
 
-from deltaspan.llm import mixing, pieces, token_output
+from deltaspan.llm import language, mixing, pieces, quality, token_output, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_language": language.op2_language,
     "op3_token_output": token_output.op3_token_output,
     "op4_mixing": mixing.op4_mixing,
+    "op5_quality": quality.op5_quality,
     "op7_pieces": pieces.op7_pieces,
 }
 

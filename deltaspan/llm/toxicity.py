@@ -17,16 +17,15 @@ picks the threshold only; it is no input of a score.
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
+import uuid
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaspan.llm.common import chosen, crc_mod, ship, table
+from deltaspan.llm.common import chosen, crc_mod, table, with_scores
 
 STRIP = string.punctuation + "«»„“”‘’…–—¡¿"
 
@@ -301,27 +300,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable, max_ro
     return [(r.text, int(r.l_y), r.lang) for r in sorted(rows.toLocalIterator(), key=lambda r: (r.l_id, r.text or ""))]
 
 
-def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` with `score_` for every whole text (null: empty); nothing is shuffled."""
-    spark = docs.sparkSession
-    ship(spark)
-    held = spark.sparkContext.broadcast(model.parts)
-    names = docs.columns
+def score_documents(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """row_ and score_ for every whole text (null: empty); nothing is shuffled."""
+    held, key = docs.sparkSession.sparkContext.broadcast(model.parts), uuid.uuid4().hex
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = ("toxicity", held.id)
+    def scores(texts: list[str]) -> np.ndarray:
         if key not in _WORKER:
             _WORKER.clear()
             _WORKER[key] = Scorer(held.value)
-        scorer, place = _WORKER[key], names.index(text_col)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = scorer.scores([scorer.words.of(t or "") for t in part.column(place).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], [*part.schema.names, "score_"])
+        scorer = _WORKER[key]
+        return scorer.scores([scorer.words.of(t) for t in texts])
 
-    schema = docs.schema.simpleString()[len("struct<") : -1]
-    return docs.mapInArrow(scored, docs.schema.add("score_", "double") if schema else "score_ double")
+    return with_scores(docs, text_col, scores, 512)
 
 
 _WORKER: dict = {}
@@ -347,12 +337,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_on(spark, docs, sf_dir)
     scored = score_documents(docs.select("doc_id", "lang", "text"), model)
-    flagged = F.col("score_") >= threshold_of(model, F.col("lang"))
+    doc_id, lang = F.col("row_.doc_id"), F.col("row_.lang")
     return scored.select(
-        "doc_id",
-        (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"),
+        doc_id.alias("doc_id"),
+        (crc_mod(doc_id, 4) == 2).alias("held_out"),
         F.col("score_").alias("score"),
         (F.col("score_") >= 0.3).cast("int").alias("predicted"),
-        threshold_of(model, F.col("lang")).alias("lang_threshold"),
-        flagged.alias("flagged"),
+        threshold_of(model, lang).alias("lang_threshold"),
+        (F.col("score_") >= threshold_of(model, lang)).alias("flagged"),
     )
