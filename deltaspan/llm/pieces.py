@@ -168,7 +168,7 @@ class Encoder:
     Decoded text is kept only where it isn't the chunk with spaces for marks.
     """
 
-    def __init__(self, model: bytes, check: bool = True, limit: int = 700_000, limit_chars: int = 12_000_000):
+    def __init__(self, model: bytes, check: bool = True, limit: int = 1_200_000, limit_chars: int = 18_000_000):
         self.vocabulary = Vocabulary.load(model)
         self.limit, self.limit_chars, self.chars = limit, limit_chars, 0
         self.ids: dict[str, bytes] = {}

@@ -131,7 +131,7 @@ class _Ids(dict):
     `limit_chars` characters, so its memory is bounded whatever the vocabulary.
     """
 
-    def __init__(self, model: str, limit: int = 600_000, limit_chars: int = 12_000_000):
+    def __init__(self, model: str, limit: int = 1_200_000, limit_chars: int = 18_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
