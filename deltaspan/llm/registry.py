@@ -1,6 +1,6 @@
 """Queries of the corpus operators and, where SQL can express them, their SQL."""
 
-from deltaspan.llm import dedup, language, lm, mixing, pieces, quality, token_output, toxicity
+from deltaspan.llm import dedup, language, lm, mixing, pieces, quality, token_output, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_token_output": token_output.op3_token_output,
     "op4_mixing": mixing.op4_mixing,
     "op5_quality": quality.op5_quality,
+    "op6_topk": topk.op6_topk,
     "op7_pieces": pieces.op7_pieces,
     "op9_lm": lm.op9_lm,
     "op10_dedup": dedup.op10_dedup,
@@ -15,4 +16,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op4_mixing": mixing.ORACLE,
+    "op6_topk": topk.ORACLE,
 }
