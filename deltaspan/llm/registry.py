@@ -1,6 +1,6 @@
 """Queries of the corpus operators and, where SQL can express them, their SQL."""
 
-from deltaspan.llm import dedup, language, lm, mixing, pieces, quality, token_output, topk, toxicity
+from deltaspan.llm import ann, dedup, language, lm, mixing, pieces, quality, token_output, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_topk": topk.op6_topk,
     "op7_pieces": pieces.op7_pieces,
+    "op8_ann": ann.op8_ann,
     "op9_lm": lm.op9_lm,
     "op10_dedup": dedup.op10_dedup,
 }
