@@ -51,6 +51,7 @@ class Config:
     slack: float = 5.0  # standard deviations that an estimate may lie below the similarity
     small_bucket: int = 64
     large_bucket: int = 4000
+    family: int = 16_000  # members of overlapping buckets that one task compares
     broadcast_rows: int = 2_000_000  # ids (8 bytes each) up to which a semi-join broadcasts
 
     @property
@@ -323,7 +324,7 @@ def estimated(rows: DataFrame, classes: DataFrame, c: Config) -> DataFrame:
     return rows.select("key", "rep", "comp").join(classes.select("rep", "n", "sketch"), "rep").groupBy("key").applyInPandas(compared, "a bigint, b bigint").distinct()
 
 
-def linked(sets: list[np.ndarray], comp: np.ndarray, similarity: int, columns: int = 2048) -> list[tuple[int, int]]:
+def linked(sets: list[np.ndarray], comp: np.ndarray, similarity: int, cells: int = 4_000_000) -> list[tuple[int, int]]:
     """Places of verified pairs that join what `comp` keeps apart: enough of them for the components of all links.
 
     Members outside the largest component meet all others. Overlaps are exact:
@@ -338,13 +339,6 @@ def linked(sets: list[np.ndarray], comp: np.ndarray, similarity: int, columns: i
     ids, owner = np.unique(ids[shared], return_inverse=True)[1], owner[shared]
     order = np.argsort(ids, kind="stable")
     ids, owner = ids[order], owner[order]
-    overlap = np.zeros((len(few), len(sets)), np.float32)
-    for low in range(0, int(ids[-1]) + 1 if len(ids) else 0, columns):
-        at, end = np.searchsorted(ids, [low, low + columns])
-        block = np.zeros((len(sets), columns), np.float32)
-        block[owner[at:end], ids[at:end] - low] = 1
-        overlap += block[few] @ block.T
-    union = size[few][:, None] + size[None, :] - overlap
     name = {x: x for x in comp.tolist()}
 
     def root(x):
@@ -353,12 +347,21 @@ def linked(sets: list[np.ndarray], comp: np.ndarray, similarity: int, columns: i
             x = name[x]
         return x
 
-    out = []
-    for i, j in np.argwhere(100 * overlap.astype(np.int64) >= similarity * union.astype(np.int64)).tolist():
-        x, y = root(int(comp[few[i]])), root(int(comp[j]))
-        if x != y:
-            name[x] = y
-            out.append((int(few[i]), j))
+    columns, out = max(64, cells // len(sets)), []
+    for first in range(0, len(few), 512):
+        some = few[first : first + 512]
+        overlap = np.zeros((len(some), len(sets)), np.float32)
+        for low in range(0, int(ids[-1]) + 1 if len(ids) else 0, columns):
+            at, end = np.searchsorted(ids, [low, low + columns])
+            block = np.zeros((len(sets), columns), np.float32)
+            block[owner[at:end], ids[at:end] - low] = 1
+            overlap += block[some] @ block.T
+        union = size[some][:, None] + size[None, :] - overlap
+        for i, j in np.argwhere(100 * overlap >= similarity * union).tolist():
+            x, y = root(int(comp[some[i]])), root(int(comp[j]))
+            if x != y:
+                name[x] = y
+                out.append((int(some[i]), j))
     return out
 
 
@@ -386,9 +389,16 @@ def exact(rows: DataFrame, classes: DataFrame, docs: DataFrame, c: Config, id_co
                 again = part.select(["key", "rep", "comp"]).take(pa.array(np.repeat(np.arange(part.num_rows), [len(f) for f in found])))
                 yield again.set_column(0, "key", pa.array(np.concatenate(found)))
 
-    usual = rows.where(F.col("size") <= c.large_bucket).select("key", "rep", "comp")
-    large = rows.where(F.col("size") > c.large_bucket).select("key", "rep", "comp").join(classes.select("rep", "sketch"), "rep").select("key", "rep", "comp", "sketch")
-    both = usual.unionByName(large.mapInArrow(rekey, "key bigint, rep bigint, comp bigint"))
+    # Overlapping buckets form a family, whose members then travel once and not with each bucket.
+    lead = rows.groupBy("key").agg(F.min("rep").alias("lead"))
+    families = components(rows.join(lead, "key").select(F.col("rep").alias("a"), F.col("lead").alias("b")))
+    families = families.join(families.groupBy("component").agg(F.count("*").alias("members")), "component").select(F.col("node").alias("rep"), F.col("component").alias("family"), "members")
+    named = rows.join(families, "rep")
+    whole = named.where(F.col("members") <= c.family).select(F.xxhash64(F.lit("family"), "family").alias("key"), "rep", "comp").distinct()
+    named = named.where(F.col("members") > c.family)
+    usual = named.where(F.col("size") <= c.large_bucket).select("key", "rep", "comp")
+    large = named.where(F.col("size") > c.large_bucket).select("key", "rep", "comp").join(classes.select("rep", "sketch"), "rep").select("key", "rep", "comp", "sketch")
+    both = whole.unionByName(usual).unionByName(large.mapInArrow(rekey, "key bigint, rep bigint, comp bigint"))
 
     def compared(pdf: pd.DataFrame) -> pd.DataFrame:
         rep, comp = pdf["rep"].to_numpy(), pdf["comp"].to_numpy()
@@ -421,7 +431,11 @@ def near_duplicates(docs: DataFrame, config: Config | None = None, *, id_col: st
     parts = components(edges)
     rows = mixed_buckets(keys, buckets, parts)
     more = checkpoint(estimated(rows.where(F.col("size") <= c.small_bucket), classes, c).join(tried, ["a", "b"], "left_anti"))
-    found = checkpoint(verified(more, docs, c, id_col, text_col).unionByName(exact(rows.where(F.col("size") > c.small_bucket), classes, docs, c, id_col, text_col)))
+    found = verified(more, docs, c, id_col, text_col)
+    large = rows.where(F.col("size") > c.small_bucket)
+    if not large.isEmpty():
+        found = found.unionByName(exact(large, classes, docs, c, id_col, text_col))
+    found = checkpoint(found)
     if not found.isEmpty():
         parts = components(edges.unionByName(found))
     named = classes.select("print", "rep").join(parts, F.col("rep") == F.col("node"), "left").select(F.col("print").alias("p"), F.coalesce("component", "rep").alias("component"))
