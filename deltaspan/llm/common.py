@@ -68,8 +68,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def chosen(df: DataFrame, id_col: str, limit: int, seed: str) -> DataFrame:
-    """At most `limit` rows, those with the smallest hash of id: the same rows on every run."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), F.col(id_col)).limit(limit)
+    """At most `limit` rows, those with the smallest hash of id: the same rows on every run.
+
+    Rows are counted first, and hashes cut so that some twice `limit` rows are
+    left, so what tasks send to the driver doesn't grow with their number.
+    """
+    h = F.xxhash64(F.lit(seed), F.col(id_col))
+    n = df.count()
+    if n > 2 * limit + 1000:
+        kept = df.where(F.pmod(h, F.lit(1 << 30)) < int((1 << 30) * (2 * limit + 1000) / n))
+        df = kept if kept.count() >= limit else df
+    return df.orderBy(F.pmod(h, F.lit(1 << 30)), F.col(id_col)).limit(limit)
 
 
 def with_scores(docs: DataFrame, text_col: str, scores: Callable[[list[str]], np.ndarray], batch: int) -> DataFrame:

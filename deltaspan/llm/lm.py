@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaspan.llm.common import checkpoint, crc_mod, ship
+from deltaspan.llm.common import checkpoint, chosen, crc_mod, ship
 
 END = b""
 FIXED = float(1 << 24)
@@ -128,7 +128,7 @@ class Reader:
         return np.array(found, np.int32), rare
 
 
-def groups(seqs: list[np.ndarray], rows: int = 256, cells: int = 300_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def groups(seqs: list[np.ndarray], rows: int = 512, cells: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Sequences of like length side by side, longest first: their places, lengths and (time x row) classes."""
     order = np.argsort([-len(s) for s in seqs], kind="stable")
     at = 0
@@ -166,7 +166,7 @@ def expected(model: Model, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarr
     """Expected starts, moves and emissions of the sequences, and their log likelihood."""
     k = model.config.states
     start, move, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape), 0.0
-    for _, lengths, x in groups(seqs, cells=120_000):
+    for _, lengths, x in groups(seqs, cells=300_000):
         ll, alphas, scale, live = forward(model, lengths, x, keep=True)
         total += float(ll.sum())
         width = len(x)
@@ -214,6 +214,23 @@ def word_counts(rows: DataFrame, limit: int = 300_000) -> DataFrame:
     return rows.select("text").mapInArrow(partial, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
 
 
+def frequent_words(counts: DataFrame, c: Config) -> list:
+    """Up to `frequent` of the commonest words, commonest first.
+
+    Counts fall into 1024 logarithmic classes; the highest classes that fit
+    together are taken, so no task sends more than it has of these words.
+    """
+    words = counts.where(F.length("word").between(1, c.word_bytes)).withColumn("level", F.floor(F.log2("c") * 16).cast("int"))
+    least, room = None, c.frequent
+    for level, n in sorted(((r.level, r["count"]) for r in words.groupBy("level").count().collect()), reverse=True):
+        if n > room:
+            break
+        least, room = level, room - n
+    if least is None:
+        return []
+    return sorted(words.where(F.col("level") >= least).collect(), key=lambda r: (-r.c, bytes(r.word)))
+
+
 def shape_masses(counts: DataFrame, model: Model) -> np.ndarray:
     held = counts.sparkSession.sparkContext.broadcast((set(model.words), model.config.shapes))
 
@@ -279,11 +296,12 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", usab
     counts = checkpoint(word_counts(rows))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = counts.where(F.length("word") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    top = counts.where(F.length("word").between(1, c.word_bytes)).orderBy(F.desc("c"), "word").limit(c.frequent).collect()
+    top = frequent_words(counts, c)
     model = Model(c, [bytes(r.word) for r in top], np.array([r.c for r in top], float), n, v, ends, np.zeros(c.shapes))
     model.shape_mass = shape_masses(counts, model)
     model.begin()
-    sample = [r.text for r in rows.orderBy(F.xxhash64(F.lit("lm"), "doc_id"), "doc_id", "text").limit(c.sample_docs).toLocalIterator()]
+    ids = F.broadcast(chosen(rows.select("doc_id").where("doc_id is not null"), "doc_id", c.sample_docs, "lm").withColumnRenamed("doc_id", "s_id").distinct())
+    sample = [r.text for r in sorted(rows.join(ids, F.col("doc_id") == F.col("s_id"), "left_semi").toLocalIterator(), key=lambda r: (r.doc_id, r.text or ""))]
     if sample:
         reader = Reader(model)
         seqs = [reader.read(words_of(t))[0] for t in sample]
@@ -310,8 +328,8 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame, *, id_col:
         inside = np.concatenate([np.zeros(len(model.words) + 1), np.log10(model.shape_mass)])
         uid = TaskContext.get().partitionId() << 40
         for full in batches:
-            for at in range(0, full.num_rows, 512):
-                batch = full.slice(at, 512)
+            for at in range(0, full.num_rows, 2048):
+                batch = full.slice(at, 2048)
                 seqs, uids, words, n = [], [], [], []
                 for text in batch.column(1).to_pylist():
                     seq, rare = reader.read(words_of(text))
