@@ -67,6 +67,9 @@ class Vocabulary:
                 own.ids[piece] = i
                 own.pairs.update(piece[k : k + 2] for k in range(len(piece) - 1))
                 own.marks_lead &= MARK not in piece.lstrip(MARK)
+        own.rank = {piece: -own.scores[i] for piece, i in own.ids.items() if len(piece) > 1}
+        own.decimal = [str(i) for i in range(len(own.pieces))]
+        own.plain = [p.replace(MARK, " ") if k == NORMAL else None for p, k in zip(own.pieces, kinds)]
         own.unknown = kinds.index(UNKNOWN)
         own.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(own.pieces, kinds)) if k == BYTE}
         own.byte_of = {i: b for b, i in own.bytes.items()}
@@ -74,39 +77,39 @@ class Vocabulary:
 
     def agenda(self, symbols: str) -> list[int]:
         """Ids of one part of a text."""
-        ids, scores = self.ids, self.scores
-        whole = ids.get(symbols) if len(symbols) == 1 else None
-        if whole is not None:
-            return [whole]
+        ids, rank = self.ids, self.rank.get
+        if len(symbols) == 1 and symbols in ids:
+            return [ids[symbols]]
         text: list[str | None] = list(symbols)
         n = len(text)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap: list[tuple[float, int, int, str]] = []
         for i in range(n - 1):
-            merged = text[i] + text[i + 1]
-            k = ids.get(merged)
-            if k is not None:
-                heap.append((-scores[k], i, i + 1, merged))
+            merged = symbols[i : i + 2]
+            cost = rank(merged)
+            if cost is not None:
+                heap.append((cost, i, i + 1, merged))
         heapq.heapify(heap)
         pop, push = heapq.heappop, heapq.heappush
         while heap:
             _, left, right, merged = pop(heap)
-            if text[left] is None or text[right] is None or after[left] != right or len(text[left]) + len(text[right]) != len(merged):
+            a, b = text[left], text[right]
+            if a is None or b is None or after[left] != right or len(a) + len(b) != len(merged):
                 continue  # one of the two has merged meanwhile
             text[left], text[right] = merged, None
             beyond = after[left] = after[right]
             if beyond < n:
                 before[beyond] = left
                 new = merged + text[beyond]
-                k = ids.get(new)
-                if k is not None:
-                    push(heap, (-scores[k], left, beyond, new))
+                cost = rank(new)
+                if cost is not None:
+                    push(heap, (cost, left, beyond, new))
             first = before[left]
             if first >= 0:
                 new = text[first] + merged
-                k = ids.get(new)
-                if k is not None:
-                    push(heap, (-scores[k], first, left, new))
+                cost = rank(new)
+                if cost is not None:
+                    push(heap, (cost, first, left, new))
         out: list[int] = []
         for piece in text:
             if piece is None:
@@ -122,13 +125,11 @@ class Vocabulary:
 
     def parts(self, chunk: str) -> list[str]:
         """The chunk, cut between neighbours that no piece joins."""
-        pairs, at, out = self.pairs, 0, []
-        for i in range(1, len(chunk)):
-            if chunk[i - 1 : i + 1] not in pairs:
-                out.append(chunk[at:i])
-                at = i
-        out.append(chunk[at:])
-        return out
+        pairs = self.pairs
+        cuts = [i for i, pair in enumerate(map(str.__add__, chunk, chunk[1:]), 1) if pair not in pairs]
+        if not cuts:
+            return [chunk]
+        return [chunk[i:j] for i, j in zip([0, *cuts], [*cuts, None])]
 
     def chunks(self, text: str) -> list[str]:
         """The text with marks for spaces, cut before runs of marks."""
@@ -141,6 +142,10 @@ class Vocabulary:
 
     def raw(self, ids: list[int]) -> str:
         """The text of ids, the dummy prefix kept."""
+        try:
+            return "".join(map(self.plain.__getitem__, ids))
+        except TypeError:  # some id isn't a normal piece
+            pass
         out: list[str] = []
         run = bytearray()
         for i in ids:
@@ -186,7 +191,7 @@ class Encoder:
         if found is None:
             found = self.vocabulary.agenda(part)
             if len(part) <= 64:
-                if len(self.by_part) >= self.limit // 4:
+                if len(self.by_part) >= self.limit // 2:
                     self.by_part.clear()
                 self.by_part[part] = found
         return found
@@ -202,14 +207,16 @@ class Encoder:
     def learn(self, new: list[str]) -> None:
         """Add distinct chunks that aren't known."""
         self.chars += sum(map(len, new))
-        found = [[i for p in self.vocabulary.parts(MARK + k) for i in self.part(p)] for k in new]
+        # Words of letters alone are rarely cut, so they aren't searched for cuts.
+        found = [self.part(MARK + k) if k.isalpha() and len(k) < 64 else [i for p in self.vocabulary.parts(MARK + k) for i in self.part(p)] for k in new]
         if self.library is not None:
             for n, (key, ids) in enumerate(zip(new, self.library.encode([k.replace(MARK, " ") for k in new], num_threads=1))):
                 if ids != found[n]:
                     found[n] = ids
                     self.disagree.add(key)
+        decimal = self.vocabulary.decimal.__getitem__
         for key, ids in zip(new, found):
-            self.ids[key] = ",".join(map(str, ids)).encode()
+            self.ids[key] = ",".join(map(decimal, ids)).encode()
             text = self.vocabulary.raw(ids)
             if text != " " + key.replace(MARK, " "):
                 self.decoded[key] = text
