@@ -49,9 +49,8 @@ class Config:
     split: int = 400
     mantissa: int = 10
     slack: float = 5.0  # standard deviations that an estimate may lie below the similarity
-    small_bucket: int = 64
     large_bucket: int = 4000
-    family: int = 16_000  # members of overlapping buckets that one task compares
+    family: int = 8_000  # members of overlapping buckets that one task compares
     broadcast_rows: int = 2_000_000  # ids (8 bytes each) up to which a semi-join broadcasts
 
     @property
@@ -301,44 +300,20 @@ def mixed_buckets(keys: DataFrame, buckets: DataFrame, parts: DataFrame) -> Data
     return checkpoint(members.join(mixed, "key"))
 
 
-def estimated(rows: DataFrame, classes: DataFrame, c: Config) -> DataFrame:
-    """Similar pairs (a, b) of different components inside small buckets."""
-    least = lowest(c)
-
-    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int]] = []
-        reg = [registers(s, c) for s in pdf["sketch"]]
-        for kind in (1, 2):
-            at = np.array([i for i, r in enumerate(reg) if kind in r], np.int64)
-            if len(at) < 2:
-                continue
-            data = np.stack([reg[i][kind] for i in at])
-            comp, size, rep = (pdf[x].to_numpy()[at] for x in ("comp", "n", "rep"))
-            for i in range(len(at) - 1):
-                rest = np.arange(i + 1, len(at))
-                rest = rest[(comp[rest] != comp[i]) & (np.minimum(size[rest], size[i]) * 100 >= np.maximum(size[rest], size[i]) * c.similarity)]
-                hit = rest[estimate(data[rest], data[i][None], c) >= least]
-                out.extend((min(rep[i], rep[j]), max(rep[i], rep[j])) for j in hit)
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
-
-    return rows.select("key", "rep", "comp").join(classes.select("rep", "n", "sketch"), "rep").groupBy("key").applyInPandas(compared, "a bigint, b bigint").distinct()
-
-
-def linked(sets: list[np.ndarray], comp: np.ndarray, similarity: int, cells: int = 4_000_000) -> list[tuple[int, int]]:
+def linked(sets: list[np.ndarray], comp: np.ndarray, similarity: int) -> list[tuple[int, int]]:
     """Places of verified pairs that join what `comp` keeps apart: enough of them for the components of all links.
 
     Members outside the largest component meet all others. Overlaps are exact:
-    products of 0/1 columns of the shingles that at least two members hold.
+    for each such member the owners of its shingles are counted.
     """
     values, counts = np.unique(comp, return_counts=True)
     few = np.flatnonzero(comp != values[counts.argmax()])
     size = np.array([len(x) for x in sets])
-    cat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-    _, ids, n = np.unique(cat, return_inverse=True, return_counts=True)
-    shared = n[ids] > 1
-    ids, owner = np.unique(ids[shared], return_inverse=True)[1], owner[shared]
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     order = np.argsort(ids, kind="stable")
-    ids, owner = ids[order], owner[order]
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)[order]
+    start = np.r_[0, np.cumsum(np.bincount(ids))]
+    of = np.r_[0, np.cumsum(size)]
     name = {x: x for x in comp.tolist()}
 
     def root(x):
@@ -347,26 +322,27 @@ def linked(sets: list[np.ndarray], comp: np.ndarray, similarity: int, cells: int
             x = name[x]
         return x
 
-    columns, out = max(64, cells // len(sets)), []
-    for first in range(0, len(few), 512):
-        some = few[first : first + 512]
-        overlap = np.zeros((len(some), len(sets)), np.float32)
-        for low in range(0, int(ids[-1]) + 1 if len(ids) else 0, columns):
-            at, end = np.searchsorted(ids, [low, low + columns])
-            block = np.zeros((len(sets), columns), np.float32)
-            block[owner[at:end], ids[at:end] - low] = 1
-            overlap += block[some] @ block.T
-        union = size[some][:, None] + size[None, :] - overlap
-        for i, j in np.argwhere(100 * overlap >= similarity * union).tolist():
-            x, y = root(int(comp[some[i]])), root(int(comp[j]))
+    out = []
+    for i in few.tolist():
+        own = ids[of[i] : of[i + 1]]
+        first, count = start[own], start[own + 1] - start[own]
+        shared = count > 1
+        first, count = first[shared], count[shared]
+        if not len(count):
+            continue
+        # The postings of all its shingles in one index array.
+        at = np.arange(int(count.sum())) + np.repeat(first - (np.cumsum(count) - count), count)
+        overlap = np.bincount(owner[at], minlength=len(sets))
+        for j in np.flatnonzero(100 * overlap >= similarity * (size[i] + size - overlap)).tolist():
+            x, y = root(int(comp[i])), root(int(comp[j]))
             if x != y:
                 name[x] = y
-                out.append((int(some[i]), j))
+                out.append((i, j))
     return out
 
 
 def exact(rows: DataFrame, classes: DataFrame, docs: DataFrame, c: Config, id_col: str, text_col: str) -> DataFrame:
-    """Verified links (a, b) between different components inside larger buckets, from full sets."""
+    """Verified links (a, b) between different components inside buckets, from full sets."""
     need = rows.select(F.col("rep").alias("t_id")).distinct()
     if need.count() <= c.broadcast_rows:
         need = F.broadcast(need)
@@ -430,14 +406,10 @@ def near_duplicates(docs: DataFrame, config: Config | None = None, *, id_col: st
     edges = checkpoint(verified(tried, docs, c, id_col, text_col))
     parts = components(edges)
     rows = mixed_buckets(keys, buckets, parts)
-    more = checkpoint(estimated(rows.where(F.col("size") <= c.small_bucket), classes, c).join(tried, ["a", "b"], "left_anti"))
-    found = verified(more, docs, c, id_col, text_col)
-    large = rows.where(F.col("size") > c.small_bucket)
-    if not large.isEmpty():
-        found = found.unionByName(exact(large, classes, docs, c, id_col, text_col))
-    found = checkpoint(found)
-    if not found.isEmpty():
-        parts = components(edges.unionByName(found))
+    if not rows.isEmpty():
+        found = checkpoint(exact(rows, classes, docs, c, id_col, text_col))
+        if not found.isEmpty():
+            parts = components(edges.unionByName(found))
     named = classes.select("print", "rep").join(parts, F.col("rep") == F.col("node"), "left").select(F.col("print").alias("p"), F.coalesce("component", "rep").alias("component"))
     # Rows without a set get a key of their own, so they never meet in one task.
     own = F.coalesce(F.col("print"), F.concat(F.lit("none "), F.coalesce(F.col("doc_id").cast("string"), F.uuid())).cast("binary"))

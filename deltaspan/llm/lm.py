@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -51,9 +52,9 @@ class Config:
     seed: int = 5
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Whole text, A-Z lower-cased, cut at ASCII white space; null has no words."""
-    return text.encode("utf-8", "replace").lower().split() if text else []
+def words_of(text: bytes | None) -> list[bytes]:
+    """Whole text in UTF-8, A-Z lower-cased, cut at ASCII white space; null has no words."""
+    return text.lower().split() if text else []
 
 
 class Shapes(dict):
@@ -116,16 +117,12 @@ class Reader:
 
     def read(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
         """Classes of the words and the end, and the words that the table lacks."""
-        found = list(map(self.at.get, words))
-        rare: list[bytes] = []
-        if None in found:
-            shapes, first = self.shapes, self.n + 1
-            gaps = [i for i, x in enumerate(found) if x is None]
-            rare = [words[i] for i in gaps]
-            for i, w in zip(gaps, rare):
-                found[i] = first + shapes[w[-3:]]
-        found.append(self.n)
-        return np.array(found, np.int32), rare
+        found = np.fromiter(map(self.at.get, words, repeat(-1)), np.int32, len(words))
+        gaps = np.flatnonzero(found < 0)
+        rare = [words[i] for i in gaps.tolist()]
+        if rare:
+            found[gaps] = np.fromiter((self.shapes[w[-3:]] for w in rare), np.int32, len(rare)) + (self.n + 1)
+        return np.append(found, np.int32(self.n)), rare
 
 
 def groups(seqs: list[np.ndarray], rows: int = 512, cells: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -187,7 +184,7 @@ def expected(model: Model, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarr
 
 
 def training(docs: DataFrame, id_col: str, text_col: str, usable) -> DataFrame:
-    return docs.where(usable(F.col(id_col))).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.where(usable(F.col(id_col))).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
 
 def word_counts(rows: DataFrame, limit: int = 300_000) -> DataFrame:
@@ -221,14 +218,15 @@ def frequent_words(counts: DataFrame, c: Config) -> list:
     together are taken, so no task sends more than it has of these words.
     """
     words = counts.where(F.length("word").between(1, c.word_bytes)).withColumn("level", F.floor(F.log2("c") * 16).cast("int"))
-    least, room = None, c.frequent
+    least, room, share = 1 << 30, c.frequent, 0
     for level, n in sorted(((r.level, r["count"]) for r in words.groupBy("level").count().collect()), reverse=True):
         if n > room:
+            share = int((1 << 30) * 0.98 * room / n)  # of the class that fits in part, those of small hashes
             break
         least, room = level, room - n
-    if least is None:
-        return []
-    return sorted(words.where(F.col("level") >= least).collect(), key=lambda r: (-r.c, bytes(r.word)))
+    below = words.where(F.col("level") < least).agg(F.max("level")).first()[0] if share else None
+    part = F.lit(False) if below is None else (F.col("level") == below) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < share)
+    return sorted(words.where((F.col("level") >= least) | part).collect(), key=lambda r: (-r.c, bytes(r.word)))
 
 
 def shape_masses(counts: DataFrame, model: Model) -> np.ndarray:
@@ -301,10 +299,10 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", usab
     model.shape_mass = shape_masses(counts, model)
     model.begin()
     ids = F.broadcast(chosen(rows.select("doc_id").where("doc_id is not null"), "doc_id", c.sample_docs, "lm").withColumnRenamed("doc_id", "s_id").distinct())
-    sample = [r.text for r in sorted(rows.join(ids, F.col("doc_id") == F.col("s_id"), "left_semi").toLocalIterator(), key=lambda r: (r.doc_id, r.text or ""))]
+    sample = [r.text for r in sorted(rows.join(ids, F.col("doc_id") == F.col("s_id"), "left_semi").toLocalIterator(), key=lambda r: (r.doc_id, bytes(r.text or b"")))]
     if sample:
         reader = Reader(model)
-        seqs = [reader.read(words_of(t))[0] for t in sample]
+        seqs = [reader.read(words_of(t and bytes(t)))[0] for t in sample]
         for _ in range(c.sample_rounds):
             model.update(*expected(model, seqs)[:3])
         for _ in range(c.corpus_rounds):
@@ -352,7 +350,7 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame, *, id_col:
                     size = len(words[cut])
                     yield pa.RecordBatch.from_arrays([pa.array(uids[cut], pa.int64()), pa.array(words[cut], pa.binary()), pa.array(n[cut], pa.int32()), pa.nulls(size, stats.type)], ["uid", "word", "n", "stats"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     stream = rows.mapInArrow(read, "uid bigint, word binary, n int, stats struct<doc_id: bigint, n_tokens: bigint, n_known: bigint, base: double, hmm: double>")
     joined = stream.join(counts, "word", "left")
     rare = F.col("n") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(0.5))
