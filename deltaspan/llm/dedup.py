@@ -96,7 +96,7 @@ class Hashes(dict):
 
 
 def compress(x: np.ndarray, mantissa: int) -> np.ndarray:
-    """Leading zeros and the bits behind the first one, of 64-bit fractions; the smaller fraction has no smaller register."""
+    """Leading zeros and the bits behind the first one, of 64-bit fractions."""
     x = np.maximum(x, U(1))
     zeros = (64 - np.frexp(x.astype(np.float64))[1]).clip(0, 62).astype(np.uint64)
     bits = ((x << zeros) << U(1)) >> U(64 - mantissa)

@@ -211,7 +211,7 @@ class Encoder:
         found = [self.part(MARK + k) if k.isalpha() and len(k) < 64 else [i for p in self.vocabulary.parts(MARK + k) for i in self.part(p)] for k in new]
         if self.library is not None:
             for n, (key, ids) in enumerate(zip(new, self.library.encode([k.replace(MARK, " ") for k in new], num_threads=1))):
-                if ids != found[n]:
+                if key and ids != found[n]:  # the library gives a lone mark no prefix
                     found[n] = ids
                     self.disagree.add(key)
         decimal = self.vocabulary.decimal.__getitem__

@@ -127,7 +127,7 @@ def top_k(table: DataFrame, k: int = K, *, id_col: str = "vec_id", vec_col: str
     asked = checkpoint(rows.where(F.col("vec_id") % QUERY_MOD == 0).join(members.select("v", F.col("cls").alias("qcls")), "v").select("vec_id", "qcls", "v"))
     distinct = asked.groupBy("qcls").agg(F.first("v").alias("v"))
     queries = checkpoint(blocks(distinct.coalesce(max(1, -(-asked.count() // QUERY_BLOCK))), ["qcls", "v"], QUERY_BLOCK, kind))
-    candidates = checkpoint(blocks(members, ["cls", "v"], BLOCK, kind))
+    candidates = checkpoint(blocks(members.coalesce(max(1, -(-members.count() // BLOCK))), ["cls", "v"], BLOCK, kind))
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

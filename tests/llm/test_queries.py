@@ -1,0 +1,16 @@
+"""Registered queries of this subpackage against their SQL."""
+
+import pytest
+from compare import DATA, same
+
+from deltaspan.llm import registry
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no tables")
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_matches_sql(spark, name):
+    same(registry.QUERIES[name](spark, str(DATA)), registry.ORACLES[name])
+
+
+def test_all_operators_are_registered():
+    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 11)}
