@@ -267,13 +267,35 @@ def verified(pairs: DataFrame, docs: DataFrame, c: Config, id_col: str, text_col
     return pairs.join(two, "b").join(one, "a").select("a", "b", "ta", "tb").mapInArrow(checked, "a bigint, b bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of undirected edges (a, b), by rounds of large and small stars.
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of the edges that one task is given."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            low, high = sorted((root(up.setdefault(u, u)), root(up.setdefault(v, v))))
+            up[high] = low
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "component"])
+
+
+def components(edges: DataFrame, one_task: int = 400_000) -> DataFrame:
+    """node, component (its smallest node) of undirected edges (a, b).
 
-    Each round keeps the graph's components and turns it towards stars; it ends
-    when a round changes nothing. Rounds are checkpointed.
+    Up to `one_task` edges (16 bytes each) go to one task. More of them take
+    rounds of large and small stars: each keeps the graph's components and turns
+    it towards stars, and they end when a round changes nothing. Rounds are
+    checkpointed.
     """
     now = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if now.count() <= one_task:
+        return checkpoint(now.coalesce(1).mapInArrow(_forest, "node bigint, component bigint"))
     seen = None
     while True:
         # Large star: larger neighbours go to the smallest of the neighbourhood.
