@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from deltaspan.functions.numeric import corr, div
+from deltaspan.functions.numeric import corr, div, draw_index
 from deltaspan.operators.cuped import KEYS, small
 
 
@@ -38,7 +38,7 @@ def paired_cuped(p: DataFrame) -> DataFrame:
 
 
 def fold(case, folds: int):
-    return F.pmod(F.crc32(case.cast("binary")), F.lit(folds)).cast("int")
+    return draw_index(F.lit(folds), "fold", case).cast("int")
 
 
 def crossfit(p: DataFrame, folds: int = 5) -> DataFrame:

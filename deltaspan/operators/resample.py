@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from deltaspan.functions.numeric import fast_index
+from deltaspan.functions.numeric import draw_index, fast_index
 
 SEED, N_BOOT = 42, 10_000
 
@@ -53,7 +53,7 @@ def pooled_replicates(cases: DataFrame, n_boot: int = N_BOOT, seed: int = SEED,
     Pairs are numbered by counting inside hash ranges, which many tasks do, and
     adding the ranges' starts.
     """
-    rows = cases.where("Diff is not null").select("TestCaseId", "LLMScore", "Diff", F.pmod(F.crc32(F.concat_ws("|", "LLMScore", "TestCaseId").cast("binary")), F.lit(256)).alias("range_"))
+    rows = cases.where("Diff is not null").select("TestCaseId", "LLMScore", "Diff", draw_index(F.lit(256), "range", F.col("LLMScore"), F.col("TestCaseId")).alias("range_"))
     sizes = rows.groupBy("range_").agg(F.count("*").alias("size_"))
     sizes = sizes.select("range_", (F.sum("size_").over(W.orderBy("range_")) - F.col("size_")).alias("start_"), F.sum("size_").over(W.partitionBy()).alias("n"))
     inside = F.row_number().over(W.partitionBy("range_").orderBy("LLMScore", "TestCaseId")) - 1

@@ -166,10 +166,17 @@ add("bootstrap_replicates", _reps, sql(_boot_sql("events"), "from reps", "boot_m
 add("bootstrap_metric", _boot, sql(_boot_sql("events"), "from boot", "mean_diff SE CI_lo_95 CI_hi_95", "LLMScore", "N_cases"))
 add("bootstrap_bars", lambda s, d: plotdata.bars(_boot(s, d)), sql(_boot_sql("events"), "select LLMScore, mean_diff, mean_diff - CI_lo_95 as err_lo, CI_hi_95 - mean_diff as err_hi from boot", "mean_diff err_lo err_hi", "LLMScore"))
 add("bootstrap_marks", lambda s, d: plotdata.marks(_boot(s, d)), sql(_boot_sql("events"), "select *, 0.0 as zero from boot", "zero mean_diff CI_lo_95 CI_hi_95", "LLMScore"))
-add("bootstrap_pooled_replicates", _pooled)
-add("bootstrap_pooled", lambda s, d: resample.describe(_pooled(s, d)))
-add("crossfit_theta", lambda s, d: paired.crossfit(paired.pairs(adapters.events(s, d))))
-add("crossfit_delta", lambda s, d: paired.crossfit_delta(paired.pairs(adapters.events(s, d))))
+POOLED_SQL = f"""{base_sql("events")},
+n_ as (select row_number() over (order by {HASH.format("'range|' || LLMScore || '|' || TestCaseId")} % 256, LLMScore, TestCaseId) - 1 as slot, count(*) over () as n, Diff from cases where Diff is not null),
+reps as (select rep, avg(p.Diff) as boot_mean from (select rep, {HASH.format("'42|pooled|' || rep || '|' || slot")} % n as pick from n_, range({N_POOLED}) r(rep)) d join n_ p on pick = slot group by all)"""
+add("bootstrap_pooled_replicates", _pooled, sql(POOLED_SQL, "from reps", "boot_mean", "", "rep"))
+add("bootstrap_pooled", lambda s, d: resample.describe(_pooled(s, d)), sql(POOLED_SQL, "select count(*) as count, avg(boot_mean) as mean, stddev_samp(boot_mean) as std, min(boot_mean) as min, quantile_cont(boot_mean, 0.025) as p2_5, quantile_cont(boot_mean, 0.5) as p50, quantile_cont(boot_mean, 0.975) as p97_5, max(boot_mean) as max from reps", "mean std min p2_5 p50 p97_5 max", "", "count"))
+CROSS_SQL = f"""{obs_sql("events")}, {PAIRED_SQL}, f_ as (select *, {HASH.format("'fold|' || TestCaseId")} % 5 as fold from p_),
+k_ as (select distinct LLMScore, fold from f_),
+r_ as (select k_.LLMScore, k_.fold, covar_samp(D, Z) / var_samp(Z) as theta, avg(Z) as mz from k_ join f_ on f_.LLMScore = k_.LLMScore and f_.fold <> k_.fold group by all),
+x_ as (select LLMScore, fold, count(*) as n, any_value(theta) as theta, avg(D) - any_value(theta) * (avg(Z) - any_value(mz)) as delta_fold from f_ join r_ using (LLMScore, fold) group by all)"""
+add("crossfit_theta", lambda s, d: paired.crossfit(paired.pairs(adapters.events(s, d))), sql(CROSS_SQL, "from x_", "theta delta_fold", "LLMScore", "fold n"))
+add("crossfit_delta", lambda s, d: paired.crossfit_delta(paired.pairs(adapters.events(s, d))), sql(CROSS_SQL, "select LLMScore, sum(n * delta_fold) / sum(n) as delta, sum(n) as n from x_ group by all", "delta", "LLMScore", "n"))
 add("pair_coverage", lambda s, d: coverage.pair_coverage(adapters.lineitem(s, d)), sql(PAIRS_SQL, "select count(*) filter (n_prev > 0) as pairs_prev, count(*) filter (n_next > 0) as pairs_next, count(*) filter (n_prev > 0 and n_next > 0) as pairs_intersection, pairs_intersection::double / pairs_next as coverage_rate_next, pairs_intersection::double / pairs_next < 0.7 as low_overlap_flag from counts", "coverage_rate_next", "low_overlap_flag", "pairs_prev pairs_next pairs_intersection"))
 add("pair_counts", lambda s, d: a.pair_counts(adapters.lineitem(s, d)), sql(PAIRS_SQL, "from counts", "", "TestCaseId AssertionId", "y_prev n_prev y_next n_next"))
 add("pair_ids", lambda s, d: a.pair_ids(a.pair_counts(adapters.lineitem(s, d))).select("TestCaseId", "AssertionId", "pair_id"), sql(PAIRS_SQL, "select TestCaseId, AssertionId, row_number() over (order by TestCaseId, AssertionId) as pair_id from counts", "", "TestCaseId AssertionId", "pair_id"))
