@@ -146,7 +146,11 @@ def training_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """At most `per_lang` rows of each of the `max_langs` most frequent languages."""
     d = docs.select(F.col(id_col).cast("long").alias("d_id"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("d_id").isNotNull() & usable(F.col("d_id")))
     langs = [r.lang for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    ranked = d.where(F.col("lang").isin(langs)).select("d_id", "lang", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64(F.lit("lang"), "d_id"), "d_id")).alias("rank_"))
+    # First among the rows of each of 256 shares of a language, then among those that are left.
+    h = F.xxhash64(F.lit("lang"), "d_id")
+    share = F.row_number().over(W.partitionBy("lang", F.pmod(F.xxhash64("d_id"), F.lit(256))).orderBy(h, "d_id"))
+    d = d.where(F.col("lang").isin(langs)).select("d_id", "lang", share.alias("share_")).where(F.col("share_") <= max(8, per_lang // 32))
+    ranked = d.select("d_id", "lang", F.row_number().over(W.partitionBy("lang").orderBy(h, "d_id")).alias("rank_"))
     kept = ranked.where(F.col("rank_") <= per_lang).select("d_id", F.col("lang").alias("kept_lang")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("t_id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(kept), F.col("t_id") == F.col("d_id")).select("t_id", "text", "kept_lang")
