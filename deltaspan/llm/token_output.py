@@ -41,17 +41,18 @@ BLOCK = struct.Struct("<IBBHH")
 def _pack(values: np.ndarray, width: int) -> bytes:
     if not width or not len(values):
         return b""
-    bits = (values[:, None] >> np.arange(width, dtype=np.uint32)) & 1
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    size = 2 if width <= 16 else 4
+    bits = np.unpackbits(values.astype(f"<u{size}").view(np.uint8).reshape(-1, size), axis=1, bitorder="little")
+    return np.packbits(bits[:, :width].ravel(), bitorder="little").tobytes()
 
 
 def _unpack(data: memoryview, n: int, width: int) -> np.ndarray:
     if not width or not n:
         return np.zeros(n, np.uint32)
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")[: n * width].reshape(n, width)
-    room = np.zeros((n, 32), np.uint8)
-    room[:, :width] = bits
-    return np.packbits(room, axis=1, bitorder="little").view("<u4").ravel()
+    size = 2 if width <= 16 else 4
+    room = np.zeros((n, 8 * size), np.uint8)
+    room[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width, bitorder="little").reshape(n, width)
+    return np.packbits(room, axis=1, bitorder="little").view(f"<u{size}").ravel().astype(np.uint32)
 
 
 def _widths(values: np.ndarray) -> np.ndarray:
@@ -84,7 +85,7 @@ def decode_block(data: memoryview, at: int = 0) -> np.ndarray:
     return values + np.uint32(low)
 
 
-def encode_segment(ids: np.ndarray, lengths: np.ndarray, block_size: int = 1024, percentile: float = 0.9) -> bytes:
+def encode_segment(ids: np.ndarray, lengths: np.ndarray, block_size: int = 4096, percentile: float = 0.9) -> bytes:
     if not 0 < block_size <= 65535:
         raise ValueError("a block holds 1 to 65535 values")
     ids = np.ascontiguousarray(ids, np.uint32)
@@ -206,7 +207,7 @@ def encode_texts(texts: list[str], ids: _Ids) -> list[bytes]:
     return out
 
 
-def write_ids(spark: SparkSession, docs: DataFrame, tokenizer_json: str, path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, block_size: int = 1024, percentile: float = 0.9, segment_ids: int = 1_000_000) -> None:
+def write_ids(spark: SparkSession, docs: DataFrame, tokenizer_json: str, path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, block_size: int = 4096, percentile: float = 0.9, segment_ids: int = 1_000_000) -> None:
     """Write all ids of `docs` in ascending `id_col` order as segments beneath `path`.
 
     Null texts are empty (they yield the end id alone); null ids sort first;
