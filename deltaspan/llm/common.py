@@ -73,3 +73,14 @@ def with_scores(docs: DataFrame, text_col: str, scores: Callable[[list[str]], np
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), F.col(f"`{text_col}`").cast("string").alias("text_"))
     return rows.mapInArrow(scored, StructType([rows.schema["row_"], StructField("score_", DoubleType())]))
+
+
+_kept: dict = {}
+
+
+def worker_cache(key, make: Callable):
+    """What a Python worker keeps between tasks: one operator's cache at a time, so that caches don't add up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]

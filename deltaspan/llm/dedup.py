@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaspan.llm.common import checkpoint, checkpoint_dir, ship
+from deltaspan.llm.common import checkpoint, checkpoint_dir, ship, worker_cache
 
 EMPTY = np.uint16(0xFFFF)
 U = np.uint64
@@ -170,13 +170,8 @@ def lowest(c: Config) -> float:
     return s - c.slack * (s * (1 - s) / (0.9 * c.registers)) ** 0.5
 
 
-_WORKER: dict = {}
-
-
 def _hashes() -> Hashes:
-    if "hashes" not in _WORKER:
-        _WORKER["hashes"] = Hashes()
-    return _WORKER["hashes"]
+    return worker_cache("shingles", Hashes)
 
 
 def sketches(docs: DataFrame, c: Config, id_col: str, text_col: str) -> DataFrame:

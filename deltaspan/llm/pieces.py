@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaspan.llm.common import ship
+from deltaspan.llm.common import ship, worker_cache
 
 MARK = "▁"
 _RUNS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -173,7 +173,7 @@ class Encoder:
     Decoded text is kept only where it isn't the chunk with spaces for marks.
     """
 
-    def __init__(self, model: bytes, check: bool = True, limit: int = 1_200_000, limit_chars: int = 18_000_000):
+    def __init__(self, model: bytes, check: bool = True, limit: int = 500_000, limit_chars: int = 8_000_000):
         self.vocabulary = Vocabulary.load(model)
         self.limit, self.limit_chars, self.chars = limit, limit_chars, 0
         self.ids: dict[str, bytes] = {}
@@ -262,9 +262,6 @@ class Encoder:
         return ids, decoded, True
 
 
-_WORKER: dict = {}
-
-
 def encode_documents(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_col: str = "text", check: bool = True, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, agrees; with_ids adds ids and the decoded text.
 
@@ -273,13 +270,10 @@ def encode_documents(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", t
     """
     spark = docs.sparkSession
     ship(spark)
-    held = spark.sparkContext.broadcast(model)
+    held, key = spark.sparkContext.broadcast(model), ("pieces", check, hashlib.sha256(model).digest())
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (check, hashlib.sha256(held.value).digest())
-        if key not in _WORKER:
-            _WORKER[key] = Encoder(held.value, check)
-        encoder = _WORKER[key]
+        encoder = worker_cache(key, lambda: Encoder(held.value, check))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaspan.llm.common import checkpoint_dir, ship
+from deltaspan.llm.common import checkpoint_dir, ship, worker_cache
 
 MAGIC = b"PFR1"
 HEADER = struct.Struct("<4sIIQQI")
@@ -182,9 +182,6 @@ def split_pieces(text: str) -> list[str] | None:
     return pieces
 
 
-_WORKER: dict = {}
-
-
 def encode_texts(texts: list[str], ids: _Ids) -> list[bytes]:
     """The ids of each text, as the library gives them for the whole text."""
     out: list[bytes] = []
@@ -218,13 +215,12 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer_json: str, path: s
     """
     ship(spark)
     model = spark.sparkContext.broadcast(tokenizer_json)
+    key = ("token ids", zlib.crc32(tokenizer_json.encode()))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids = _WORKER.get("ids")
-        if ids is None:
-            ids = _WORKER["ids"] = _Ids(model.value)
+        ids = worker_cache(key, lambda: _Ids(model.value))
         end = np.array([end_id], "<u4").tobytes()
         held: list[bytes] = []
         keys: list[int | None] = []
@@ -242,9 +238,9 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer_json: str, path: s
             for at in range(0, batch.num_rows, 512):
                 piece = batch.slice(at, 512)
                 found = encode_texts([t or "" for t in piece.column(1).to_pylist()], ids)
-                for key, data in zip(piece.column(0).to_pylist(), found):
+                for doc_id, data in zip(piece.column(0).to_pylist(), found):
                     held.append(data + end)
-                    keys.append(key)
+                    keys.append(doc_id)
                     size += len(data) // 4 + 1
                     if size >= segment_ids:
                         yield flush()

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaspan.llm.common import chosen, crc_mod, table, with_scores
+from deltaspan.llm.common import chosen, crc_mod, table, with_scores, worker_cache
 
 STRIP = string.punctuation + "«»„“”‘’…–—¡¿"
 
@@ -305,18 +305,12 @@ def score_documents(docs: DataFrame, model: Model, *, text_col: str = "text") ->
     held, key = docs.sparkSession.sparkContext.broadcast(model.parts), uuid.uuid4().hex
 
     def scores(texts: list[str]) -> np.ndarray:
-        if key not in _WORKER:
-            _WORKER.clear()
-            _WORKER[key] = Scorer(held.value)
-        scorer = _WORKER[key]
+        scorer = worker_cache(key, lambda: Scorer(held.value))
         return scorer.scores([scorer.words.of(t) for t in texts])
 
     return with_scores(docs, text_col, scores, 512)
 
 
-_WORKER: dict = {}
-
-
 def threshold_of(model: Model, lang) -> F.Column:
     out = F.lit(model.threshold)
     for name, value in sorted(model.by_lang.items()):
