@@ -11,12 +11,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from deltaspan.functions.shipping import ship
+from deltaspan.functions import shipping
 
+#: Bytes of an Arrow batch to Python workers at most: whole texts may be long, and batches are held several times.
+ARROW_BYTES = 16 << 20
 #: Words everywhere: maximal runs outside the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors and keep Arrow batches small."""
+    shipping.ship(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "").lower().rstrip("b")
+    if not now.isdigit() or int(now) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
