@@ -23,8 +23,8 @@ def ship(spark: SparkSession) -> None:
     """Send the package to the executors and keep Arrow batches small."""
     shipping.ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, "").lower().rstrip("b")
-    if not now.isdigit() or int(now) > ARROW_BYTES:
+    now = spark.conf.get(key).lower().rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= ARROW_BYTES:
         spark.conf.set(key, str(ARROW_BYTES))
 
 
