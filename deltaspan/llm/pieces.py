@@ -173,11 +173,11 @@ class Encoder:
     Decoded text is kept only where it isn't the chunk with spaces for marks.
     """
 
-    def __init__(self, model: bytes, check: bool = True, limit: int = 500_000, limit_chars: int = 8_000_000):
+    def __init__(self, model: bytes, check: bool = True, limit: int = 400_000, limit_chars: int = 8_000_000, limit_parts: int = 600_000):
         self.vocabulary = Vocabulary.load(model)
-        self.limit, self.limit_chars, self.chars = limit, limit_chars, 0
+        self.limit, self.limit_chars, self.limit_parts, self.chars = limit, limit_chars, limit_parts, 0
         self.ids: dict[str, bytes] = {}
-        self.by_part: dict[str, list[int]] = {}
+        self.by_part: dict[str, bytes] = {}
         self.decoded: dict[str, str] = {}
         self.disagree: set[str] = set()
         self.library = None
@@ -186,12 +186,13 @@ class Encoder:
 
             self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
 
-    def part(self, part: str) -> list[int]:
+    def part(self, part: str) -> bytes:
+        """Ids of a part as decimals."""
         found = self.by_part.get(part)
         if found is None:
-            found = self.vocabulary.agenda(part)
+            found = ",".join(map(self.vocabulary.decimal.__getitem__, self.vocabulary.agenda(part))).encode()
             if len(part) <= 64:
-                if len(self.by_part) >= self.limit // 2:
+                if len(self.by_part) >= self.limit_parts:
                     self.by_part.clear()
                 self.by_part[part] = found
         return found
@@ -207,16 +208,19 @@ class Encoder:
     def learn(self, new: list[str]) -> None:
         """Add distinct chunks that aren't known."""
         self.chars += sum(map(len, new))
+        decimal, parts, part = self.vocabulary.decimal.__getitem__, self.vocabulary.parts, self.part
         # Words of letters alone are rarely cut, so they aren't searched for cuts.
-        found = [self.part(MARK + k) if k.isalpha() and len(k) < 64 else [i for p in self.vocabulary.parts(MARK + k) for i in self.part(p)] for k in new]
-        if self.library is not None:
-            for n, (key, ids) in enumerate(zip(new, self.library.encode([k.replace(MARK, " ") for k in new], num_threads=1))):
-                if key and ids != found[n]:  # the library gives a lone mark no prefix
-                    found[n] = ids
+        found = [part(MARK + k) if k.isalpha() and len(k) < 64 else b",".join([part(p) for p in parts(MARK + k)]) for k in new]
+        given = self.library.encode([k.replace(MARK, " ") for k in new], num_threads=1) if self.library is not None else [None] * len(new)
+        for key, own, ids in zip(new, found, given):
+            if ids and key:  # the library gives a lone mark no prefix
+                theirs = ",".join(map(decimal, ids)).encode()
+                if theirs != own:
+                    own = theirs
                     self.disagree.add(key)
-        decimal = self.vocabulary.decimal.__getitem__
-        for key, ids in zip(new, found):
-            self.ids[key] = ",".join(map(decimal, ids)).encode()
+            else:
+                ids = list(map(int, own.split(b",")))
+            self.ids[key] = own
             text = self.vocabulary.raw(ids)
             if text != " " + key.replace(MARK, " "):
                 self.decoded[key] = text
@@ -229,8 +233,8 @@ class Encoder:
         """
         if not self.vocabulary.dummy_prefix:
             for text in texts:
-                ids = [i for c in self.vocabulary.chunks(text) for p in self.vocabulary.parts(c) for i in self.part(p)]
-                yield self.agreed(text, ",".join(map(str, ids)).encode(), self.vocabulary.decode(ids), self.library is not None)
+                ids = b",".join([self.part(p) for c in self.vocabulary.chunks(text) for p in self.vocabulary.parts(c)])
+                yield self.agreed(text, ids, self.vocabulary.decode(list(map(int, ids.split(b","))) if ids else []), self.library is not None)
             return
         if len(self.ids) > self.limit or self.chars > self.limit_chars:
             for held in (self.ids, self.decoded, self.disagree):
