@@ -173,7 +173,7 @@ class Encoder:
     Decoded text is kept only where it isn't the chunk with spaces for marks.
     """
 
-    def __init__(self, model: bytes, check: bool = True, limit: int = 400_000, limit_chars: int = 8_000_000, limit_parts: int = 600_000):
+    def __init__(self, model: bytes, check: bool = True, limit: int = 550_000, limit_chars: int = 8_000_000, limit_parts: int = 400_000):
         self.vocabulary = Vocabulary.load(model)
         self.limit, self.limit_chars, self.limit_parts, self.chars = limit, limit_chars, limit_parts, 0
         self.ids: dict[str, bytes] = {}
