@@ -25,6 +25,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +50,19 @@ def _pack(values: np.ndarray, width: int) -> bytes:
 def _unpack(data: memoryview, n: int, width: int) -> np.ndarray:
     if not width or not n:
         return np.zeros(n, np.uint32)
-    size = 2 if width <= 16 else 4
-    room = np.zeros((n, 8 * size), np.uint8)
+    if width <= 25:  # each value lies in the four bytes from its first bit's byte on
+        first, shift = _places(n, width)
+        words = np.ndarray((len(data) + 1,), "<u4", bytes(data) + b"\0\0\0\0", strides=(1,))
+        return (words[first] >> shift) & np.uint32((1 << width) - 1)
+    room = np.zeros((n, 32), np.uint8)
     room[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width, bitorder="little").reshape(n, width)
-    return np.packbits(room, axis=1, bitorder="little").view(f"<u{size}").ravel().astype(np.uint32)
+    return np.packbits(room, axis=1, bitorder="little").view("<u4").ravel().astype(np.uint32)
+
+
+@lru_cache(maxsize=64)
+def _places(n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    bits = np.arange(n, dtype=np.int64) * width
+    return bits >> 3, (bits & 7).astype(np.uint32)
 
 
 def _widths(values: np.ndarray) -> np.ndarray:
