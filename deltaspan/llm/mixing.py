@@ -84,7 +84,7 @@ def cuts(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """The plan with `cut`: the last place that the fractional selection of a source takes, null if none."""
     numbered = plan.withColumn("buckets", F.ceil(F.col("n_rows") / F.lit(BUCKET_ROWS)))
     p = numbered.select(F.col("source").alias("p_source"), "mean_weight", "buckets", "rest")
-    r = rows.join(p, F.col("source").eqNullSafe(F.col("p_source")), "inner")
+    r = rows.join(small(p), F.col("source").eqNullSafe(F.col("p_source")), "inner")
     r = r.withColumn("bucket", F.floor(F.col("key") * F.col("mean_weight") * F.col("buckets"))).select("source", "bucket", "rest", "size", place().alias("place"))
     # Rows of a bucket stand together for the inner sum; the buckets' sums join without another shuffle of rows.
     sums = r.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -102,8 +102,17 @@ def copies() -> Column:
     return F.col("epochs") + F.coalesce(place() <= F.col("cut"), F.lit(False)).cast("long")
 
 
+#: Sources up to which a table of one row each is broadcast; beyond it joins shuffle.
+BROADCAST_SOURCES = 50_000
+
+
+def small(sources: DataFrame) -> DataFrame:
+    """The checkpointed table of sources, with a hint if it is as small as it should be."""
+    return F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
+
+
 def plan_mix(rows: DataFrame) -> DataFrame:
-    return cuts(rows, targets(rows)).select(F.col("source").alias("m_source"), "source_size", "target", "epochs", "cut")
+    return cuts(rows, checkpoint(targets(rows))).select(F.col("source").alias("m_source"), "source_size", "target", "epochs", "cut")
 
 
 def mixed_sizes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -114,14 +123,14 @@ def mixed_sizes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     stay. Texts are read once: what is kept of them is checkpointed.
     """
     rows = checkpoint(rows_of(docs, id_col, text_col, source_col))
-    mix = checkpoint(plan_mix(rows))
+    mix = small(checkpoint(plan_mix(rows)))
     return rows.join(mix, F.col("source").eqNullSafe(F.col("m_source"))).select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of `docs` as often as the mix takes them, with the columns of `docs`."""
     rows = checkpoint(rows_of(docs, id_col, text_col, source_col))
-    mix = checkpoint(plan_mix(rows))
+    mix = small(checkpoint(plan_mix(rows)))
     names = docs.columns
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row_"))
     keyed = held.select("row_", F.col(f"row_.`{id_col}`").cast("long").alias("doc_id"), F.col(f"row_.`{source_col}`").cast("string").alias("source"), size_of(F.col(f"row_.`{text_col}`")).alias("size"), quality_weight(F.col(f"row_.`{text_col}`")).alias("weight"))

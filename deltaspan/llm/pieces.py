@@ -173,9 +173,9 @@ class Encoder:
     Decoded text is kept only where it isn't the chunk with spaces for marks.
     """
 
-    def __init__(self, model: bytes, check: bool = True, limit: int = 550_000, limit_chars: int = 8_000_000, limit_parts: int = 400_000):
+    def __init__(self, model: bytes, check: bool = True, limit: int = 550_000, limit_chars: int = 8_000_000):
         self.vocabulary = Vocabulary.load(model)
-        self.limit, self.limit_chars, self.limit_parts, self.chars = limit, limit_chars, limit_parts, 0
+        self.limit, self.limit_chars, self.limit_parts, self.chars = limit, limit_chars, limit * 3 // 4, 0
         self.ids: dict[str, bytes] = {}
         self.by_part: dict[str, bytes] = {}
         self.decoded: dict[str, str] = {}
@@ -266,18 +266,19 @@ class Encoder:
         return ids, decoded, True
 
 
-def encode_documents(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_col: str = "text", check: bool = True, with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_col: str = "text", check: bool = True, with_ids: bool = False, cache: int = 550_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, agrees; with_ids adds ids and the decoded text.
 
     Null texts are empty: no ids, the hashes of the empty string. Rows keep
-    their number: ids may be null or repeat. Nothing is shuffled.
+    their number: ids may be null or repeat. Nothing is shuffled. A worker
+    remembers up to `cache` chunks.
     """
     spark = docs.sparkSession
     ship(spark)
-    held, key = spark.sparkContext.broadcast(model), ("pieces", check, hashlib.sha256(model).digest())
+    held, key = spark.sparkContext.broadcast(model), ("pieces", check, cache, hashlib.sha256(model).digest())
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_cache(key, lambda: Encoder(held.value, check))
+        encoder = worker_cache(key, lambda: Encoder(held.value, check, cache))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
