@@ -1,8 +1,9 @@
 """Bootstrap of mean differences (BOOT-01 to BOOT-04, AGG-17, AGG-18).
 
 Draws are hashes of (seed, group, replicate, slot), so results don't depend on
-partitions or retries. Each draw is a row that joins the numbered cases, and sums
-are partial before the shuffle: no task holds a metric's cases or replicates.
+partitions or retries. Each draw is a row that joins the numbered cases, which are
+broadcast up to HELD rows, and sums are partial before the shuffle; beyond that no
+task holds a metric's cases. Draws are dealt to all tasks in runs of STEP replicates.
 """
 
 from __future__ import annotations
@@ -16,6 +17,22 @@ from pyspark.sql import functions as F
 from deltaspan.functions.numeric import draw_index, fast_index
 
 SEED, N_BOOT = 42, 10_000
+#: Numbered cases up to which they are broadcast, and replicates that one row brings forth at once.
+HELD, STEP = 500_000, 100
+
+
+def drawn(held: DataFrame, group: list[str], n_boot: int, index: Callable, *key: int | str) -> DataFrame:
+    """group, rep, boot_mean from the numbered cases `held` (group, slot, n, Diff)."""
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = held.select(*group, "n", "slot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1), F.lit(STEP))).alias("from_")).repartition(parts, *group, "slot", "from_")
+    draws = runs.select(*group, "n", "slot", F.explode(F.sequence("from_", F.least(F.col("from_") + STEP - 1, F.lit(n_boot - 1)))).alias("rep"))
+    draws = draws.select(*group, "rep", index(F.col("n"), *key, *[F.col(g) for g in group], F.col("rep"), F.col("slot")).alias("slot"))
+    values = held.select(*group, "slot", "Diff")
+    if values.limit(HELD + 1).count() <= HELD:
+        return draws.join(F.broadcast(values), [*group, "slot"]).groupBy(*group, "rep").agg(F.avg("Diff").alias("boot_mean"))
+    # Counting draws per (replicate, case) first leaves fewer rows to join.
+    counted = draws.groupBy(*group, "rep", "slot").agg(F.count("*").alias("times"))
+    return counted.join(values, [*group, "slot"]).groupBy(*group, "rep").agg((F.sum(F.col("times") * F.col("Diff")) / F.sum("times")).alias("boot_mean"))
 
 
 def numbered(cases: DataFrame, group: list[str], order: list[str]) -> DataFrame:
@@ -26,13 +43,7 @@ def numbered(cases: DataFrame, group: list[str], order: list[str]) -> DataFrame:
 
 def replicates(cases: DataFrame, group: list[str], order: list[str], n_boot: int = N_BOOT, seed: int = SEED, index: Callable = fast_index) -> DataFrame:
     """group, rep, boot_mean: the mean of as many draws with replacement as the group has cases."""
-    held = numbered(cases, group, order)
-    draws = held.select(*group, "n", "slot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
-    draws = draws.select(*group, "rep", index(F.col("n"), seed, *[F.col(g) for g in group], F.col("rep"), F.col("slot")).alias("slot"))
-    # Counting draws per (replicate, case) first leaves fewer rows to join.
-    counted = draws.groupBy(*group, "rep", "slot").agg(F.count("*").alias("times"))
-    joined = counted.join(held, [*group, "slot"])
-    return joined.groupBy(*group, "rep").agg((F.sum(F.col("times") * F.col("Diff")) / F.sum("times")).alias("boot_mean"))
+    return drawn(numbered(cases, group, order), group, n_boot, index, seed)
 
 
 def metric_replicates(cases: DataFrame, n_boot: int = N_BOOT, seed: int = SEED, index: Callable = fast_index) -> DataFrame:
@@ -58,9 +69,7 @@ def pooled_replicates(cases: DataFrame, n_boot: int = N_BOOT, seed: int = SEED,
     sizes = sizes.select("range_", (F.sum("size_").over(W.orderBy("range_")) - F.col("size_")).alias("start_"), F.sum("size_").over(W.partitionBy()).alias("n"))
     inside = F.row_number().over(W.partitionBy("range_").orderBy("LLMScore", "TestCaseId")) - 1
     held = rows.withColumn("i_", inside).join(F.broadcast(sizes), "range_").select((F.col("start_") + F.col("i_")).alias("slot"), "n", "Diff")
-    draws = held.select("n", "slot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
-    counted = draws.select("rep", index(F.col("n"), seed, "pooled", F.col("rep"), F.col("slot")).alias("slot")).groupBy("rep", "slot").agg(F.count("*").alias("times"))
-    return counted.join(held, "slot").groupBy("rep").agg((F.sum(F.col("times") * F.col("Diff")) / F.sum("times")).alias("boot_mean"))
+    return drawn(held, [], n_boot, index, seed, "pooled")
 
 
 def describe(reps: DataFrame) -> DataFrame:

@@ -15,7 +15,8 @@ from deltaspan.operators import assertions as a
 from deltaspan.operators import bayes, coverage, cuped, inference, paired, plotdata, resample, simulate
 from deltaspan.sources import adapters, load
 
-N_BOOT, N_POOLED = 40, 20
+#: The whole size of the reference, in the queries and in their SQL.
+N_BOOT = N_POOLED = resample.N_BOOT
 
 
 def tidy(df: DataFrame) -> DataFrame:
