@@ -203,9 +203,8 @@ for _p, _c, _o in (("Previous", "p_prev", 0), ("Next", "p_next", 5)):
 
 
 def _model(spark: SparkSession, d: str, **more) -> DataFrame:
-    """Draws for the simulated counts: whole chains with fixed seeds."""
-    previous, following, _ = simulate.simulate(spark)
-    return bayes.sample(spark, a.pair_counts(previous.unionByName(following)), draws=400, warmup=400, **more)
+    """Draws for the assertions' counts: whole chains with fixed seeds."""
+    return bayes.sample(spark, a.pair_counts(adapters.lineitem(spark, d)), **more)
 
 
 add("model_summary", lambda s, d: bayes.scalar_summary(_model(s, d)))
