@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaspan.functions.numeric import draw_index, rounded, uniform
+from deltaspan.functions.numeric import draw_index, rounded
 from deltaspan.operators import assertions as a
 from deltaspan.operators import bayes, coverage, cuped, inference, paired, plotdata, resample, simulate
 from deltaspan.sources import adapters, load
@@ -91,18 +91,11 @@ def _pooled(spark: SparkSession, d: str) -> DataFrame:
     return resample.pooled_replicates(_cases(spark, d), N_POOLED, index=draw_index)
 
 
-def fixed_draws(spark: SparkSession, draws: int = 40, pairs: int = 35) -> DataFrame:
-    """A table of draws from keyed numbers, so that summaries have a twin in SQL."""
-    each = spark.range(draws).select((F.col("id") % 4).cast("int").alias("chain"), F.floor(F.col("id") / 4).cast("int").alias("draw"), "id")
-    vector = lambda name: F.transform(F.sequence(F.lit(1), F.lit(pairs)), lambda p: uniform(name, F.col("id"), p))
-    each = each.withColumn("p_prev", vector("prev")).withColumn("p_next", vector("next")).withColumn("delta", F.zip_with("p_next", "p_prev", lambda x, y: x - y))
-    return each.withColumn("overall_delta", F.aggregate("delta", F.lit(0.0), lambda s, x: s + x) / pairs).withColumn("tau", uniform("tau", F.col("id")) - 0.3).drop("id")
+def _model(spark: SparkSession, d: str, **more) -> DataFrame:
+    """Draws for the assertions' counts: whole chains with fixed seeds."""
+    return bayes.sample(spark, a.pair_counts(adapters.lineitem(spark, d)), **more)
 
 
-DRAWS_SQL = f"""draws as (select id % 4 as chain, id // 4 as draw, pair, {UNIFORM.format("'prev|' || id || '|' || pair")} as p, {UNIFORM.format("'next|' || id || '|' || pair")} as q,
-  {UNIFORM.format("'tau|' || id")} - 0.3 as tau from range(40) i(id), range(1, 36) r(pair)),
-rates as (select chain, draw, avg(p) as mean_prev, avg(q) as mean_next, avg(q - p) as overall_delta, first(tau) as tau from draws group by all)"""
-INTERVAL = "avg({0}) as mean, quantile_cont({0}, 0.025) as ci_lo, quantile_cont({0}, 0.975) as ci_hi, avg(({0} > 0)::int) as prob_positive"
 PAIRS_SQL = f"{obs_sql('lineitem')}, counts as (select TestCaseId, AssertionId, coalesce(p.y, 0) as y_prev, coalesce(p.n, 0) as n_prev, coalesce(q.y, 0) as y_next, coalesce(q.n, 0) as n_next from (select TestCaseId, AssertionId, sum(IsTrue) as y, count(*) as n from obs where Period = 'Previous' group by all) p full join (select TestCaseId, AssertionId, sum(IsTrue) as y, count(*) as n from obs where Period = 'Next' group by all) q using (TestCaseId, AssertionId))"
 PAIRED_SQL = "p_ as (select TestCaseId, LLMScore, z.v as Z, y.v - z.v as D from (select TestCaseId, LLMScore, avg(Value) as v from obs where Period = 'Previous' group by all) z join (select TestCaseId, LLMScore, avg(Value) as v from obs where Period = 'Next' group by all) y using (TestCaseId, LLMScore))"
 SIM_SQL = f"""base as (select pair, format('TC{{:03d}}', pair // 5 + 1) as TestCaseId, format('AS{{:03d}}', pair % 5 + 1) as AssertionId,
@@ -189,24 +182,17 @@ add("kde_cuped", lambda s, d: plotdata.kde(cuped.adjusted(adapters.events(s, d))
 add("kde_bootstrap", lambda s, d: plotdata.kde(_reps(s, d), "boot_mean", ["LLMScore"], 40), sql(f"{_boot_sql('events')}, {_kde_sql('reps', 'boot_mean', 'LLMScore')}", "from kde", "x density", "LLMScore", "i"))
 add("numeric_coercion", lambda s, d: _texts(s, d).select("o_orderkey", load.numeric(load.untoken(F.col("text"))).alias("v")).select("o_orderkey", F.when(F.abs("v") < 1e300, F.col("v")).alias("v"), (F.col("v") == float("inf")).alias("infinite")), sql(TEXTS_SQL, "select o_orderkey, case when text in (' 2 ', '1e3', '-0.9', '0.4') or o_orderkey % 16 = 7 then try_cast(trim(text) as double) end as v, case when text = 'inf' then true when text in (' 2 ', '1e3', '-0.9', '0.4') or o_orderkey % 16 = 7 then false end as infinite from texts", "v", "o_orderkey infinite"))
 add("binary_coercion", lambda s, d: _texts(s, d).select("o_orderkey", load.binary(load.untoken(F.col("text"))).alias("v")), sql(TEXTS_SQL, "select o_orderkey, case when text in (' 2 ', '1e3', 'True', 'Y') then 1 when text in ('no ', '-0.9', '0.4') then 0 when o_orderkey % 16 = 7 then (abs(try_cast(trim(text) as double)) >= 1)::int end as v from texts", "", "o_orderkey", "v"))
-add("mean_rates", lambda s, d: bayes.mean_rates(fixed_draws(s)), sql(DRAWS_SQL, "from rates", "mean_prev mean_next", "", "chain draw"))
-add("melt_rates", lambda s, d: bayes.melted(bayes.mean_rates(fixed_draws(s))), sql(DRAWS_SQL, "select chain, draw, 'Previous' as Period, mean_prev as mean_pass_rate from rates union all select chain, draw, 'Next', mean_next from rates", "mean_pass_rate", "Period", "chain draw"))
-add("rate_difference", lambda s, d: bayes.rate_difference(bayes.mean_rates(fixed_draws(s))), sql(DRAWS_SQL, f"select {INTERVAL.format('(mean_next - mean_prev)')} from rates", "mean ci_lo ci_hi prob_positive"))
-add("posterior_summary", lambda s, d: bayes.scalar_summary(fixed_draws(s)), sql(DRAWS_SQL, f"select {INTERVAL.format('overall_delta')} from rates", "mean ci_lo ci_hi prob_positive"))
-add("posterior_lift", lambda s, d: bayes.predictive(fixed_draws(s), 0.3), sql(DRAWS_SQL, f"select {INTERVAL.format('(1 / (1 + exp(-(ln(0.3 / 0.7) + tau))) - 0.3)')} from rates", "mean ci_lo ci_hi prob_positive"))
-add("violins", lambda s, d: plotdata.violins(bayes.melted(bayes.mean_rates(fixed_draws(s)))), sql(f"{DRAWS_SQL}, m_ as (select 'Previous' as Period, mean_prev as v from rates union all select 'Next', mean_next from rates)", "select Period, quantile_cont(v, 0.25) as q25, quantile_cont(v, 0.5) as q50, quantile_cont(v, 0.75) as q75, min(v) as low, max(v) as high from m_ group by all", "q25 q50 q75 low high", "Period"))
-add("top_pairs", lambda s, d: plotdata.forest(bayes.pair_summary(fixed_draws(s), simulate.truth(s, simulate.Config(cases=7)).selectExpr("TestCaseId", "AssertionId", "0L as y_prev", "0L as n_prev", "0L as y_next", "0L as n_next")), 10), sql(f"{DRAWS_SQL}, s_ as (select format('TC{{:03d}}', (pair - 1) // 5 + 1) as TestCaseId, format('AS{{:03d}}', (pair - 1) % 5 + 1) as AssertionId, avg(q - p) as delta_mean, quantile_cont(q - p, 0.025) as delta_ci_lo, quantile_cont(q - p, 0.975) as delta_ci_hi, avg((q > p)::int) as prob_improved from draws group by all)", "select *, TestCaseId || '::' || AssertionId as label from s_ order by abs(delta_mean) desc, TestCaseId, AssertionId limit 10", "delta_mean delta_ci_lo delta_ci_hi prob_improved", "TestCaseId AssertionId label"))
+add("mean_rates", lambda s, d: bayes.mean_rates(_model(s, d)))
+add("melt_rates", lambda s, d: bayes.melted(bayes.mean_rates(_model(s, d))))
+add("rate_difference", lambda s, d: bayes.rate_difference(bayes.mean_rates(_model(s, d))))
+add("posterior_summary", lambda s, d: bayes.scalar_summary(_model(s, d)))
+add("posterior_lift", lambda s, d: bayes.predictive(_model(s, d), 0.3))
+add("violins", lambda s, d: plotdata.violins(bayes.melted(bayes.mean_rates(_model(s, d)))))
+add("top_pairs", lambda s, d: plotdata.forest(bayes.pair_summary(_model(s, d), a.pair_counts(adapters.lineitem(s, d)))))
 add("simulate_truth", lambda s, d: simulate.truth(s).drop("pair"), sql(SIM_SQL, "from truth", "eta_prev p_prev tau_j eta_next p_next true_delta", "TestCaseId AssertionId"))
 add("simulate_means", lambda s, d: simulate.population(simulate.truth(s)), sql(SIM_SQL, "select avg(p_prev) as mean_p_prev, avg(p_next) as mean_p_next, avg(true_delta) as mean_delta from truth", "mean_p_prev mean_p_next mean_delta"))
 for _p, _c, _o in (("Previous", "p_prev", 0), ("Next", "p_next", 5)):
     add(f"simulate_{_p.lower()}", lambda s, d, p=_p: simulate.runs(simulate.truth(s), p), sql(SIM_SQL, f"select (pair * 10 + {_o} + run + 1)::varchar as RunId, TestCaseId, AssertionId, ({UNIFORM.format(f"'123|' || pair || '|{_p}|' || run")} < {_c})::int as IsTrue, '{_p}' as Period from truth, range(5) r(run)", "", "RunId TestCaseId AssertionId Period", "IsTrue"))
-
-
-def _model(spark: SparkSession, d: str, **more) -> DataFrame:
-    """Draws for the assertions' counts: whole chains with fixed seeds."""
-    return bayes.sample(spark, a.pair_counts(adapters.lineitem(spark, d)), **more)
-
-
 add("model_summary", lambda s, d: bayes.scalar_summary(_model(s, d)))
 add("model_diagnostics", lambda s, d: bayes.diagnostics(_model(s, d)))
 add("model_case_effects", lambda s, d: bayes.scalar_summary(_model(s, d, case_effects=True)))

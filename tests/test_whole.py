@@ -1,5 +1,7 @@
 """Registered queries do the operators' whole job."""
 
+import math
+
 import pytest
 from compare import DATA
 from pyspark.sql import functions as F
@@ -46,3 +48,30 @@ def test_model_reads_the_assertions(spark):
     raw = counts.where("n_prev > 0 and n_next > 0").agg(F.avg(F.col("y_next") / F.col("n_next") - F.col("y_prev") / F.col("n_prev"))).first()[0]
     r = registry.QUERIES["model_summary"](spark, str(DATA)).first()
     assert r.ci_lo < raw < r.ci_hi
+
+
+@tables
+def test_summaries_are_of_the_models_draws(spark):
+    get = lambda name: registry.QUERIES[name](spark, str(DATA))
+    counts = assertions.pair_counts(adapters.lineitem(spark, str(DATA)))
+    draws = bayes.sample(spark, counts).cache()
+    rates = draws.select("chain", "draw", "p_prev", "p_next").toPandas()
+    means = {(r.chain, r.draw): (sum(r.p_prev) / len(r.p_prev), sum(r.p_next) / len(r.p_next)) for r in rates.itertuples()}
+    found = get("mean_rates").collect()
+    assert len(found) == 4_000 and all((r.mean_prev, r.mean_next) == pytest.approx(means[r.chain, r.draw], abs=2e-6) for r in found)
+    assert get("melt_rates").count() == 8_000
+    change = [b - x for x, b in means.values()]
+    for name in ("rate_difference", "posterior_summary"):
+        assert get(name).first()["mean"] == pytest.approx(sum(change) / 4_000, abs=2e-6)
+    tau = [r.tau for r in draws.select("tau").collect()]
+    lift = [1 / (1 + 7 / 3 * math.exp(-x)) - 0.3 for x in tau]
+    assert get("posterior_lift").first()["mean"] == pytest.approx(sum(lift) / 4_000, abs=2e-6)
+    low = {r.Period: (r.low, r.high) for r in get("violins").collect()}
+    assert low["Next"] == pytest.approx((min(b for _, b in means.values()), max(b for _, b in means.values())), abs=2e-6)
+    top = get("top_pairs").collect()
+    each = {tuple(r): 0.0 for r in counts.select("TestCaseId", "AssertionId").collect()}
+    by_id = sorted(each)
+    total = [sum(x) / 4_000 for x in zip(*[r.delta for r in draws.select("delta").collect()])]
+    want = sorted(zip(by_id, total), key=lambda p: (-abs(p[1]), p[0]))[:30]
+    assert [(r.TestCaseId, r.AssertionId) for r in top] == [p for p, _ in want]
+    assert all(r.delta_mean == pytest.approx(x, abs=2e-6) for r, (_, x) in zip(top, want))
