@@ -16,7 +16,7 @@ have both sketches, so any two sets that may be linked share one kind.
    are compared once more, members of different components only, so a link that
    no leader saw is found as well: by estimates and verification in small
    buckets, on full sets at once in larger ones. Buckets too large for one task
-   are first cut by pairs of bands, which linked sets share almost surely.
+   are cut into blocks, and each two blocks that may hold a link meet in a task.
 
 With 40 bands of 5 registers a pair at similarity 0.8 shares no band once in
 8 million times.
@@ -358,7 +358,31 @@ def linked(sets: list[np.ndarray], comp: np.ndarray, similarity: int) -> list[tu
     return out
 
 
-def exact(rows: DataFrame, classes: DataFrame, docs: DataFrame, c: Config, id_col: str, text_col: str) -> DataFrame:
+def blocked(rows: DataFrame, c: Config) -> DataFrame:
+    """key, rep, comp: buckets dealt out so that any two members of different components meet under some key.
+
+    One of the two lies outside the bucket's largest component. Members outside
+    it fill blocks of about half of `large_bucket` and so do those inside; each
+    outer block meets each inner and each other outer one, under a key of about
+    `large_bucket` members. A member's copies grow with the number of blocks it meets.
+    """
+    held = F.greatest(F.lit(1), F.lit(c.large_bucket // 2))
+    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("all"))
+    cut = most.select("key", F.col("most.comp").alias("main"), F.ceil((F.col("all") - F.col("most.n")) / held).alias("outer_"), F.ceil(F.col("most.n") / held).alias("inner_"))
+    at = rows.join(cut, "key").withColumn("inside", F.col("comp") == F.col("main"))
+    at = at.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "rep"), F.when(F.col("inside"), F.col("inner_")).otherwise(F.col("outer_"))))
+    # An outer block is whole under each of its keys with an inner one, of which there is at least one.
+    outer = F.explode(F.sequence(F.lit(0).cast("long"), F.col("outer_") - 1))
+    inner = F.explode(F.sequence(F.lit(0).cast("long"), F.col("inner_") - 1))
+    with_outer, with_inner = at.where("outer_ > 0").withColumn("other", outer), at.where("not inside").withColumn("other", inner)
+    key = lambda kind, x, y: F.xxhash64(F.lit(kind), "key", x, y).alias("key")
+    cross = with_outer.where("inside").select(key("inner", F.col("other"), F.col("block")), "rep", "comp").unionByName(with_inner.select(key("inner", F.col("block"), F.col("other")), "rep", "comp"))
+    among = with_outer.where("not inside and other <> block").select(key("outer", F.least("block", "other"), F.greatest("block", "other")), "rep", "comp")
+    return cross.unionByName(among)
+
+
+def exact(rows: DataFrame, docs: DataFrame, c: Config, id_col: str, text_col: str) -> DataFrame:
     """Verified links (a, b) between different components inside buckets, from full sets."""
     need = rows.select(F.col("rep").alias("t_id")).distinct()
     if need.count() <= c.broadcast_rows:
@@ -374,14 +398,6 @@ def exact(rows: DataFrame, classes: DataFrame, docs: DataFrame, c: Config, id_co
 
     sets = texts.mapInArrow(made, "rep bigint, held binary")
 
-    def rekey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for full in batches:
-            for at in range(0, full.num_rows, 256):
-                part = full.slice(at, 256)
-                found = [mix(band_keys(s, c).view(np.uint64) ^ U(k & 0xFFFFFFFFFFFFFFFF)).view(np.int64) for k, s in zip(part.column(0).to_pylist(), part.column(3).to_pylist())]
-                again = part.select(["key", "rep", "comp"]).take(pa.array(np.repeat(np.arange(part.num_rows), [len(f) for f in found])))
-                yield again.set_column(0, "key", pa.array(np.concatenate(found)))
-
     # Overlapping buckets form a family, whose members then travel once and not with each bucket.
     lead = rows.groupBy("key").agg(F.min("rep").alias("lead"))
     families = components(rows.join(lead, "key").select(F.col("rep").alias("a"), F.col("lead").alias("b")))
@@ -390,8 +406,8 @@ def exact(rows: DataFrame, classes: DataFrame, docs: DataFrame, c: Config, id_co
     whole = named.where(F.col("members") <= c.family).select(F.xxhash64(F.lit("family"), "family").alias("key"), "rep", "comp").distinct()
     named = named.where(F.col("members") > c.family)
     usual = named.where(F.col("size") <= c.large_bucket).select("key", "rep", "comp")
-    large = named.where(F.col("size") > c.large_bucket).select("key", "rep", "comp").join(classes.select("rep", "sketch"), "rep").select("key", "rep", "comp", "sketch")
-    both = whole.unionByName(usual).unionByName(large.mapInArrow(rekey, "key bigint, rep bigint, comp bigint"))
+    large = named.where(F.col("size") > c.large_bucket).select("key", "rep", "comp")
+    both = whole.unionByName(usual).unionByName(blocked(large, c))
 
     def compared(pdf: pd.DataFrame) -> pd.DataFrame:
         rep, comp = pdf["rep"].to_numpy(), pdf["comp"].to_numpy()
@@ -424,7 +440,7 @@ def near_duplicates(docs: DataFrame, config: Config | None = None, *, id_col: st
     parts = components(edges)
     rows = mixed_buckets(keys, buckets, parts)
     if not rows.isEmpty():
-        found = checkpoint(exact(rows, classes, docs, c, id_col, text_col))
+        found = checkpoint(exact(rows, docs, c, id_col, text_col))
         if not found.isEmpty():
             parts = components(edges.unionByName(found))
     named = classes.select("print", "rep").join(parts, F.col("rep") == F.col("node"), "left").select(F.col("print").alias("p"), F.coalesce("component", "rep").alias("component"))
