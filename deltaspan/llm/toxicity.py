@@ -233,25 +233,26 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(a * self.logits(docs).astype(np.float64) + b, -30, 30)))
 
 
-def platt(logit: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and offset of a logistic fit, by Newton steps with a weak pull to (1, 0)."""
+def platt(logit: np.ndarray, y: np.ndarray, steps: int = 50, weight: np.ndarray | float = 1.0) -> tuple[float, float]:
+    """Slope and offset of a logistic fit of weighted rows, by Newton steps with a weak pull to (1, 0)."""
     theta, x = np.array([1.0, 0.0]), np.c_[logit, np.ones(len(logit))].astype(np.float64)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        gradient = x.T @ (p - y) + 0.1 * (theta - [1, 0])
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
+        gradient = x.T @ (weight * (p - y)) + 0.1 * (theta - [1, 0])
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
         move = np.linalg.solve(hessian, gradient)
         theta -= np.clip(move, -1, 1)
     return max(float(theta[0]), 1e-3), float(theta[1])
 
 
-def best_threshold(score: np.ndarray, y: np.ndarray) -> float:
-    """Of 0.20, 0.25, ... 0.50, the one of the best F1; 0.30 and what is nearest to it among equals."""
+def best_threshold(score: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> float:
+    """Of 0.20, 0.25, ... 0.50, the one of the best F1 of weighted rows; 0.30 and what is nearest to it among equals."""
     grid = np.round(np.arange(0.2, 0.51, 0.05), 2)
+    w = np.ones(len(y)) if weight is None else weight
 
     def f1(t: float) -> float:
         hit = score >= t
-        return 2 * float((hit & (y == 1)).sum()) / max(float(hit.sum() + y.sum()), 1.0)
+        return 2 * float(w[hit & (y == 1)].sum()) / max(float(w[hit].sum() + (w * y).sum()), 1.0)
 
     return float(max(grid, key=lambda t: (round(f1(t), 6), -abs(t - 0.3))))
 
@@ -263,7 +264,7 @@ class Model:
     by_lang: dict[str, float]
 
 
-def fit(sample: list[tuple[str | None, int, str | None]], config: Config | None = None) -> Model:
+def fit(sample: list[tuple[str | None, int, str | None]], config: Config | None = None, weights: tuple[float, float] = (1.0, 1.0)) -> Model:
     """From (text, label, lang) rows; lang serves the thresholds only."""
     c = config or Config()
     rng = np.random.default_rng(c.seed)
@@ -283,18 +284,36 @@ def fit(sample: list[tuple[str | None, int, str | None]], config: Config | None
     net.train(used, y[~held], rng)
     logit = Scorer(net.compact()).logits(docs)
     fitted = held if y[held].sum() >= 5 else np.ones(len(docs), bool)
-    net.platt = platt(logit[fitted], y[fitted])
+    # The labelled rows that a row of either label stands for: the calibration is to their share, not to the sample's.
+    weight = np.array(weights)[y.astype(int)]
+    net.platt = platt(logit[fitted], y[fitted], weight=weight[fitted] / weight[fitted].mean())
     scorer = Scorer(net.compact())
     score = scorer.scores(docs)
     langs = np.array([lang or "" for _, _, lang in sample])
-    by_lang = {str(g): best_threshold(score[m], y[m]) for g in set(langs[fitted]) - {""} if (m := fitted & (langs == g)).sum() >= 50 and y[m].sum() >= 10}
-    return Model(net.compact(), best_threshold(score[fitted], y[fitted]), by_lang)
+    by_lang = {str(g): best_threshold(score[m], y[m], weight[m]) for g in set(langs[fitted]) - {""} if (m := fitted & (langs == g)).sum() >= 50 and y[m].sum() >= 10}
+    return Model(net.compact(), best_threshold(score[fitted], y[fitted], weight[fitted]), by_lang)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable, max_rows: int, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", balance: bool = False) -> list[tuple]:
-    """At most `max_rows` (text, label, lang) rows, those with the smallest hash of id; labels other than 0 and 1 are left out."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & usable(F.col("doc_id"))).groupBy(F.col("doc_id").alias("l_id")).agg(F.max(label).alias("l_y"))
-    known = chosen(known, "l_id", max_rows, f"train {label}")
+def usable_labels(labels: DataFrame, label: str, usable) -> DataFrame:
+    """l_id, l_y of usable rows; labels other than 0 and 1 are left out."""
+    return labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & usable(F.col("doc_id"))).groupBy(F.col("doc_id").alias("l_id")).agg(F.max(label).alias("l_y"))
+
+
+def shares(known: DataFrame, max_rows: int) -> dict[int, tuple[int, int]]:
+    """For labels 0 and 1: how many rows there are, and how many to take, half of `max_rows` each as far as they go."""
+    there = {0: 0, 1: 0} | {int(r.l_y): r["count"] for r in known.groupBy("l_y").count().collect()}
+    one = min(there[1], max(max_rows // 2, max_rows - there[0]))
+    return {0: (there[0], min(there[0], max_rows - one)), 1: (there[1], one)}
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable, max_rows: int, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", balance: dict[int, tuple[int, int]] | None = None) -> list[tuple]:
+    """At most `max_rows` (text, label, lang) rows, those with the smallest hash of id, of each label as many as `balance` says."""
+    known = usable_labels(labels, label, usable)
+    if balance is None:
+        known = chosen(known, "l_id", max_rows, f"train {label}")
+    else:
+        some = [chosen(known.where(F.col("l_y") == y), "l_id", take, f"train {label}") for y, (_, take) in balance.items()]
+        known = some[0].unionByName(some[1])
     d = docs.select(F.col(id_col).cast("long").alias("d_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = d.join(F.broadcast(known), F.col("d_id") == F.col("l_id")).select("l_id", "text", "l_y", "lang")
     return [(r.text, int(r.l_y), r.lang) for r in sorted(rows.toLocalIterator(), key=lambda r: (r.l_id, r.text or ""))]
@@ -324,7 +343,10 @@ def usable(doc_id):
 
 
 def fit_on(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
-    return fit(training_rows(docs, table(spark, sf_dir, "labels"), "toxic", usable, Config.max_rows))
+    labels = table(spark, sf_dir, "labels")
+    taken = shares(usable_labels(labels, "toxic", usable), Config.max_rows)
+    sample = training_rows(docs, labels, "toxic", usable, Config.max_rows, balance=taken)
+    return fit(sample, weights=tuple(there / max(take, 1) if take else 1.0 for there, take in taken.values()))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
