@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from compare import DATA
 from pyspark.sql import functions as F
@@ -75,3 +76,25 @@ def test_summaries_are_of_the_models_draws(spark):
     want = sorted(zip(by_id, total), key=lambda p: (-abs(p[1]), p[0]))[:30]
     assert [(r.TestCaseId, r.AssertionId) for r in top] == [p for p, _ in want]
     assert all(r.delta_mean == pytest.approx(x, abs=2e-6) for r, (_, x) in zip(top, want))
+
+
+def test_gradient_without_the_covariate():
+    rng = np.random.default_rng(0)
+    counts = {"y_prev": rng.integers(0, 5, 20), "n_prev": np.full(20, 5), "y_next": rng.integers(0, 5, 20), "n_next": np.full(20, 5)}
+    d = bayes.Density(counts, covariate=False)
+    x = rng.normal(0, 0.5, d.size)
+    _, g = d(x)
+    assert np.allclose(g, [(d(x + v)[0] - d(x - v)[0]) / 2e-5 for v in np.eye(d.size) * 1e-5], atol=1e-4)
+    assert np.allclose(d.parts(x)[4], d.parts(x)[2] + x[2])
+
+
+def test_gain_of_the_covariate(spark):
+    # Next rates fall where previous ones are high, which tau alone can't say.
+    rows = [(f"c{i:02d}", "a", 2 + 16 * (i % 2), 20, 14 - 8 * (i % 2), 20) for i in range(40)]
+    counts = spark.createDataFrame(rows, "TestCaseId string, AssertionId string, y_prev bigint, n_prev bigint, y_next bigint, n_next bigint")
+    one, two = bayes.sample(spark, counts).cache(), bayes.sample(spark, counts, covariate=False).cache()
+    assert {r.theta for r in two.select("theta").collect()} == {0.0}
+    assert one.agg(F.avg("theta")).first()[0] < -1
+    a, b = (np.var([r[0] for r in x.select("overall_delta").collect()], ddof=1) for x in (one, two))
+    r = bayes.ess_gain(one, two).first()
+    assert (r.var_with, r.var_without, r.ess_gain) == pytest.approx((a, b, b / a))
