@@ -30,6 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from deltaspan.llm.common import checkpoint_dir, ship, worker_cache
@@ -138,8 +139,10 @@ class _Ids(dict):
     A piece is a word that a space precedes (kept without the space), or a line
     feed and the word behind it. New pieces go to the library as one text and
     come apart where an id begins with a space or a line feed, which are only
-    found at the start of a piece. The cache starts anew at `limit` pieces or
-    `limit_chars` characters, so its memory is bounded whatever the vocabulary.
+    found at the start of a piece. Should they come apart elsewhere, texts are
+    encoded whole from then on. Texts that hold an added token are encoded whole
+    as well. The cache starts anew at `limit` pieces or `limit_chars` characters,
+    so its memory is bounded whatever the vocabulary.
     """
 
     def __init__(self, model: str, limit: int = 1_200_000, limit_chars: int = 18_000_000):
@@ -149,7 +152,8 @@ class _Ids(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.tokenizer.encode_special_tokens = True
+        #: Tokens that the library looks for before anything else.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.limit, self.limit_chars, self.chars = limit, limit_chars, 0
         self.starts = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for piece, i in self.tokenizer.get_vocab().items():
@@ -157,21 +161,23 @@ class _Ids(dict):
         probe = [self.whole(x) for x in ("\na", "a", " a b\nc", " a", " b", "\nc")]
         line = self.whole("\n")
         #: False for tokenizers that don't cut before spaces and around line feeds; texts are then encoded whole.
-        self.cuts = probe[0] == line + probe[1] and probe[2] == b"".join(probe[3:]) and len(line) == 4
+        self.cuts = probe[0] == line + probe[1] and probe[2] == b"".join(probe[3:]) and len(line) == 4 and not any(c.isspace() for t in self.added for c in t)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, new: list[str]) -> None:
-        """Add distinct pieces that aren't known."""
+    def learn(self, new: list[str]) -> bool:
+        """Add distinct pieces that aren't known; false if the library doesn't cut them apart where it should."""
         joined = "".join([p if p[0] == "\n" else " " + p for p in new])
         ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
         at = np.flatnonzero(self.starts[ids]).tolist()
         if len(at) != len(new) or at[0]:
-            raise ValueError("a piece has several starts")
+            self.cuts = False
+            return False
         data = ids.tobytes()
         self.update(zip(new, [data[4 * a : 4 * b] for a, b in zip(at, at[1:] + [len(ids)])]))
         self.chars += len(joined)
+        return True
 
     def trim(self) -> None:
         if len(self) > self.limit or self.chars > self.limit_chars:
@@ -205,12 +211,13 @@ def encode_texts(texts: list[str], ids: _Ids) -> list[bytes]:
     out: list[bytes] = []
     for at in range(0, len(texts), 256):
         ids.trim()
-        cut = [split_pieces(t) if ids.cuts else None for t in texts[at : at + 256]]
+        cut = [split_pieces(t) if ids.cuts and not any(x in t for x in ids.added) else None for t in texts[at : at + 256]]
         found = [list(map(ids.get, p)) if p else [] for p in cut]
         gaps = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
         new = {p[i] for p, g in zip(cut, gaps) for i in g}
-        if new:
-            ids.learn(list(new))
+        if new and not ids.learn(list(new)):
+            out.extend(map(ids.whole, texts[at : at + 256]))
+            continue
         for text, pieces, known, gap in zip(texts[at : at + 256], cut, found, gaps):
             if pieces is None:
                 out.append(ids.whole(text))
@@ -226,10 +233,14 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer_json: str, path: s
     """Write all ids of `docs` in ascending `id_col` order as segments beneath `path`.
 
     Null texts are empty (they yield the end id alone); null ids sort first;
-    rows with equal ids stand in order of text. Only the two named columns are
-    read, so others may have any name. Texts are range-partitioned by id and
-    encoded after the shuffle, so ids are never shuffled; the range sampling
-    reads rows but encodes none.
+    rows with equal ids stand in order of a hash of their text, so a range may
+    end between them, and rows that agree in both are interchangeable; repeated
+    rows are written as often as they occur. An empty table writes no segment.
+    Only the two named columns are read, so others may have any name. Texts are
+    read whole, whatever their length, and added tokens in them count as the
+    library counts them. They are range-partitioned by id and encoded after the
+    shuffle, so ids are never shuffled; the range sampling reads rows but encodes
+    none.
     """
     ship(spark)
     model = spark.sparkContext.broadcast(tokenizer_json)
@@ -266,15 +277,16 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer_json: str, path: s
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange(F.col("key")).sortWithinPartitions("key", "text")
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(F.col("key"), F.col("hash")).sortWithinPartitions("key", "hash", "text").select("key", "text")
     ordered.mapInArrow(segments, "part int, number int, ids array<bigint>, n_ids bigint, image binary").write.mode("overwrite").option("compression", "uncompressed").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """One row per document from the written segments: doc_id, start, n_tokens, ids_crc32, segment, place.
 
-    Offsets of segments come from a window over one row per segment (millions
-    of ids each), whose sums join back by segment.
+    Segments get their offsets in two steps: a window over one row per writing
+    task, and windows over the segments (a million ids each) of each task.
     """
     ship(spark)
     written = spark.read.parquet(path)
@@ -291,9 +303,11 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([number] * n, pa.int32()), pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(segment.lengths.astype(np.int64), pa.int64()), pa.array(crc, pa.int64())], ["part", "number", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
     read = written.select("part", "number", "ids", "image").mapInArrow(documents, "part int, number int, doc_id bigint, inside bigint, n_tokens bigint, ids_crc32 bigint")
-    written.select("part", "number", "n_ids").createOrReplaceTempView(view := f"segments_{uuid.uuid4().hex}")
-    offsets = spark.sql(f"select part, number, sum(n_ids) over (order by part, number rows between unbounded preceding and current row) - n_ids as base from {view}")
-    spark.catalog.dropTempView(view)
+    sizes = written.select("part", "number", "n_ids")
+    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("all_"))
+    parts = parts.select("part", (F.sum("all_").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("all_")).alias("first_"))
+    inside = F.sum("n_ids").over(W.partitionBy("part").orderBy("number").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n_ids")
+    offsets = sizes.withColumn("inside_", inside).join(parts, "part").select("part", "number", (F.col("first_") + F.col("inside_")).alias("base"))
     return read.join(offsets, ["part", "number"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", F.col("part").alias("segment_part"), F.col("number").alias("segment_number"))
 
 

@@ -58,9 +58,7 @@ def library():
 
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         text = f.read()
-    t = Tokenizer.from_str(text)
-    t.encode_special_tokens = True
-    return text, t
+    return text, Tokenizer.from_str(text)
 
 
 def test_pieces_of_texts_encode_as_whole_texts():
@@ -71,17 +69,33 @@ def test_pieces_of_texts_encode_as_whole_texts():
     assert token_output.encode_texts(texts, ids) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
 
 
+def test_added_tokens_are_the_librarys():
+    model, t = library()
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b c", "a <|endoftext| > b", "plain words"]
+    assert t.encode(texts[0], add_special_tokens=False).ids == [31373, 220, 50256, 995]
+    whole = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert token_output.encode_texts(texts, token_output._Ids(model)) == whole
+
+
+def test_a_tokenizer_that_cuts_elsewhere_gets_whole_texts():
+    model, t = library()
+    ids = token_output._Ids(model)
+    ids.starts[:] = False
+    texts = ["some words here", "and some more"]
+    assert token_output.encode_texts(texts, ids) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert not ids.cuts
+
+
 def test_token_output(spark, odd, tmp_path):
     model, t = library()
     docs = odd.unionByName(odd.limit(3)).unionByName(odd.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
     token_output.write_ids(spark, docs, model, str(tmp_path / "ids"), segment_ids=500)
     found = sorted((tuple(r)[:4] for r in token_output.read_ids(spark, str(tmp_path / "ids")).collect()), key=lambda r: r[1])
-    rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0], r[1] is not None, r[1] or ""))
-    start = 0
-    for (doc_id, text), row in zip(rows, found, strict=True):
-        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
-        assert row == (doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
-        start += len(ids)
+    # In ascending order of id, each document starting where the one before ends.
+    assert [r[0] for r in found] == sorted((r[0] for r in found), key=lambda i: (i is not None, i))
+    assert [r[1] for r in found] == [0, *np.cumsum([r[2] for r in found])[:-1].tolist()]
+    wanted = [(r.doc_id, np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")) for r in docs.collect()]
+    assert Counter((r[0], r[2], r[3]) for r in found) == Counter((i, len(ids), zlib.crc32(ids.tobytes())) for i, ids in wanted)
     token_output.write_ids(spark, odd.limit(0), model, str(tmp_path / "none"))
     assert token_output.read_ids(spark, str(tmp_path / "none")).count() == 0
 
@@ -213,12 +227,26 @@ def test_language(spark, odd):
     texts = [(make(g), g) for g in syllables for _ in range(10)]
     lang, score = model.predict([t for t, _ in texts])
     assert lang == [g for _, g in texts] and all(0 <= s <= 1 for s in score)
-    assert model.predict([None, "", "12 !?", "é"])[0][:3] == ["und"] * 3
+    assert model.predict([None, "", "12 !?", "² ½ Ⅻ", "é"])[0][:4] == ["und"] * 4
     assert language.fit([]).predict(["text"]) == (["und"], [0.0])
     assert language.identify(odd, model).count() == odd.count()
     assert language.training_rows(odd.limit(0)) == []
 
 
+def test_many_languages_and_long_texts(spark, monkeypatch):
+    rows = [(i, f"word{i % 80} " * 3, f"l{i % 80:02d}") for i in range(1600)]
+    sample = language.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_rows=400)
+    taken = Counter(g for _, g in sample)
+    assert len(taken) == 80 and set(taken.values()) == {5}
+    model = language.fit(sample)
+    assert model.predict(["word79 word79"])[0] == ["l79"]
+    text = "".join(random.Random(1).choice("abc é") for _ in range(5000))
+    whole = language.vector(text)
+    for span in (1, 7, 1000, 5001):
+        monkeypatch.setattr(language, "SPAN", span)
+        assert np.array_equal(language.vector(text), whole)
+
+
 # --- searches
 
 
