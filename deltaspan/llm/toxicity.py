@@ -7,11 +7,20 @@ layer weighs them. Words seen in fewer than `min_docs` training documents map to
 a zero row, and so does every bucket that training never saw, so words that are
 rare or unknown say nothing.
 
+All parameters start at random, and labels reach them through gradients only.
+The gradient of a maximum touches one word for each filter and document, so each
+pass leaves out half of the words (`word_dropout`): others then come first.
+
 Training takes a bounded sample of the labelled rows (`max_rows`, those with the
 smallest hash of id, evenly from both labels as far as they go); scoring takes
-every whole text. Scores are calibrated on training rows held out of the
-gradient, and a threshold is chosen on them for each language. The language
-picks the threshold only; it is no input of a score.
+every whole text, long ones window by window. Scores are calibrated on training
+rows held out of the gradient, and a threshold is chosen on them for each
+language. The language picks the threshold only; it is no input of a score.
+
+Null and empty texts have no words and get the score of none. Without labels of
+both kinds every text gets the share of the label there is. Rows keep their
+number and all their columns, whatever the columns' names; ids may be null
+(never learnt from) or repeat; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaspan.llm.common import chosen, crc_mod, table, with_scores, worker_cache
+from deltaspan.llm.common import chosen, crc_mod, spans, table, with_scores, worker_cache
 
 STRIP = string.punctuation + "«»„“”‘’…–—¡¿"
 
@@ -36,8 +45,10 @@ class Config:
     dim: int = 8  # of each of the two tables
     widths: tuple[int, ...] = (1, 2, 3)
     filters: int = 8  # of each width
-    epochs: int = 8
-    passes: int = 30_000  # documents seen in all at least, in up to 30 epochs
+    epochs: int = 10
+    passes: int = 45_000  # documents seen in all at least, in up to 30 epochs
+    word_dropout: float = 0.5
+    spread: float = 0.03  # standard deviation of the words' first vectors
     batch: int = 32
     rate: float = 0.01
     min_docs: int = 3
@@ -67,8 +78,11 @@ class Words(dict):
         return value
 
     def of(self, text: str) -> np.ndarray:
-        words = text.split()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        found = []
+        for part in spans(text):
+            words = part.split()
+            found.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
+        return found[0] if len(found) == 1 else np.concatenate(found or [np.zeros(0, np.int64)])
 
 
 def _conv(first: np.ndarray, later: list[np.ndarray]) -> np.ndarray:
@@ -84,38 +98,24 @@ class Network:
 
     def __init__(self, config: Config, rng: np.random.Generator):
         c = self.config = config
-        self.e1 = rng.normal(0, 0.1, (c.buckets, c.dim)).astype(np.float32)
-        self.e2 = rng.normal(0, 0.1, (c.buckets, c.dim)).astype(np.float32)
+        self.e1 = rng.normal(0, c.spread, (c.buckets, c.dim)).astype(np.float32)
+        self.e2 = rng.normal(0, c.spread, (c.buckets, c.dim)).astype(np.float32)
         self.w = [rng.normal(0, 0.3, (k, 2 * c.dim, c.filters)).astype(np.float32) for k in c.widths]
         self.b = [np.zeros(c.filters, np.float32) for _ in c.widths]
         self.out = rng.normal(0, 0.3, len(c.widths) * c.filters).astype(np.float32)
         self.bias = np.float32(0)
         self.platt = (1.0, 0.0)
 
-    def start(self, docs: list[np.ndarray], y: np.ndarray) -> None:
-        """Keep the buckets of words in enough documents; their first coordinate starts at the log odds of the label."""
+    def start(self, docs: list[np.ndarray]) -> None:
+        """Zero the rows of buckets that no word of enough documents falls into."""
         c = self.config
         bits, mask = c.buckets.bit_length() - 1, c.buckets - 1
-        seen = [np.unique(d) for d in docs]
-        keys, place = np.unique(np.concatenate([*seen, [0]]), return_inverse=True)
-        label = np.repeat(y, [len(s) for s in seen])
-        n = np.bincount(place[:-1], minlength=len(keys)).astype(float)
-        pos = np.bincount(place[:-1], label, minlength=len(keys))
-        total, positive = len(y), max(float(y.sum()), 1.0)
-        odds = np.log((pos + 0.5) / (positive + 1)) - np.log((n - pos + 0.5) / (total - positive + 1))
-        kept = (n >= c.min_docs) & (keys != 0)
-        # Each table's row belongs to the most frequent of the words that fall into it.
-        order = np.flatnonzero(kept)[np.argsort(n[kept], kind="stable")]
-        for e, bucket in ((self.e1, keys & mask), (self.e2, keys >> bits)):
+        keys, n = np.unique(np.concatenate([*(np.unique(d) for d in docs), [0]]), return_counts=True)
+        kept = keys[(n >= c.min_docs) & (keys != 0)]
+        for e, bucket in ((self.e1, kept & mask), (self.e2, kept >> bits)):
             live = np.zeros(c.buckets, bool)
-            live[bucket[order]] = True
+            live[bucket] = True
             e[~live] = 0
-            e[bucket[order], 0] = np.clip(odds[order], -3, 3) / 3
-        for w in self.w:
-            half = c.filters // 2
-            w[0, [0, c.dim], :half] = 0.7
-            w[0, [0, c.dim], half:] = -0.7
-        self.out[:] = np.tile(np.r_[np.full(c.filters // 2, 0.7), np.full(c.filters - c.filters // 2, -0.2)], len(c.widths))
 
     def split(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bits, mask = self.config.buckets.bit_length() - 1, self.config.buckets - 1
@@ -133,6 +133,7 @@ class Network:
             for ids in np.array_split(rng.permutation(len(docs)), max(1, len(docs) // c.batch)):
                 step += 1
                 flat = np.concatenate(list(chain.from_iterable((docs[i], pad) for i in ids)))
+                flat = np.where(rng.random(len(flat), np.float32) < c.word_dropout, 0, flat)
                 lengths = np.array([len(docs[i]) + len(pad) for i in ids])
                 starts = np.cumsum(lengths) - lengths
                 h1, h2 = self.split(flat)
@@ -175,13 +176,6 @@ class Network:
                     total = total[(e[rows] != 0).any(1)]
                     g[live] += total * total
                     e[live] -= c.rate * 2 * total / np.sqrt(g[live])
-        self.project()
-
-    def project(self) -> None:
-        """What each bucket adds to each filter, so that scoring only gathers and adds."""
-        d = self.config.dim
-        self.p1 = [np.ascontiguousarray(np.concatenate([self.e1 @ w[j, :d] for w in self.w for j in range(len(w))], axis=1))]
-        self.p2 = [np.ascontiguousarray(np.concatenate([self.e2 @ w[j, d:] for w in self.w for j in range(len(w))], axis=1))]
 
     def compact(self) -> tuple:
         """Rows that say something, for the broadcast: at most as many as the training words."""
@@ -203,31 +197,50 @@ class Scorer:
         add = lambda e, part: np.concatenate([np.zeros((1, sum(c.widths) * c.filters), np.float32), np.concatenate([e @ w[j, part] for w in self.w for j in range(len(w))], axis=1)])
         self.p1, self.p2 = add(ea, slice(0, d)), add(eb, slice(d, 2 * d))
 
-    def logits(self, docs: list[np.ndarray]) -> np.ndarray:
+    def logits(self, docs: list[np.ndarray], window: int = 20_000) -> np.ndarray:
+        """Of whole documents: so many at once that the arrays stay small, long ones in windows."""
         c = self.config
-        bits, mask = c.buckets.bit_length() - 1, c.buckets - 1
         pad = np.zeros(max(c.widths), np.int64)
         out = np.empty(len(docs), np.float32)
         at = 0
-        while at < len(docs):  # so many whole documents at once that the arrays stay small
+        while at < len(docs):
             end, n = at, 0
-            while end < len(docs) and (end == at or n + len(docs[end]) <= 20_000):
+            while end < len(docs) and (end == at or n + len(docs[end]) <= window):
                 n += len(docs[end]) + len(pad)
                 end += 1
-            flat = np.concatenate(list(chain.from_iterable((d, pad) for d in docs[at:end])))
-            lengths = np.array([len(d) + len(pad) for d in docs[at:end]])
-            starts = np.cumsum(lengths) - lengths
-            r1, r2 = self.at1[flat & mask], self.at2[flat >> bits]
-            x = self.p1[r1] + self.p2[r2]
-            pooled, col = [], 0
-            for k, b in zip(c.widths, self.b):
-                parts = [x[:, col + j * c.filters : col + (j + 1) * c.filters] for j in range(k)]
-                col += k * c.filters
-                pooled.append(np.maximum(np.maximum.reduceat(_conv(parts[0], parts[1:]), starts, axis=0) + b, 0))
-            out[at:end] = np.concatenate(pooled, axis=1) @ self.out + self.bias
+            if len(docs[at]) > window:
+                pooled = self.long(docs[at], pad, window)
+                end = at + 1
+            else:
+                flat = np.concatenate(list(chain.from_iterable((d, pad) for d in docs[at:end])))
+                lengths = np.array([len(d) + len(pad) for d in docs[at:end]])
+                starts = np.cumsum(lengths) - lengths
+                pooled = np.concatenate([np.maximum.reduceat(r, starts, axis=0) for r in self.responses(flat)], axis=1)
+            out[at:end] = np.maximum(pooled + np.concatenate(self.b), 0) @ self.out + self.bias
             at = end
         return out
 
+    def responses(self, flat: np.ndarray) -> list[np.ndarray]:
+        """What the filters of each width give at each place."""
+        c = self.config
+        bits, mask = c.buckets.bit_length() - 1, c.buckets - 1
+        x = self.p1[self.at1[flat & mask]] + self.p2[self.at2[flat >> bits]]
+        out, col = [], 0
+        for k in c.widths:
+            parts = [x[:, col + j * c.filters : col + (j + 1) * c.filters] for j in range(k)]
+            col += k * c.filters
+            out.append(_conv(parts[0], parts[1:]))
+        return out
+
+    def long(self, doc: np.ndarray, pad: np.ndarray, window: int) -> np.ndarray:
+        """Largest responses of one document; each window also sees the words that its last filters reach."""
+        doc, best = np.concatenate([doc, pad]), None
+        for at in range(0, len(doc), window):
+            part = [r[:window].max(0) for r in self.responses(doc[at : at + window + len(pad) - 1])]
+            part = np.concatenate(part)[None]
+            best = part if best is None else np.maximum(best, part)
+        return best
+
     def scores(self, docs: list[np.ndarray]) -> np.ndarray:
         a, b = self.platt
         return 1 / (1 + np.exp(-np.clip(a * self.logits(docs).astype(np.float64) + b, -30, 30)))
@@ -280,7 +293,7 @@ def fit(sample: list[tuple[str | None, int, str | None]], config: Config | None
         net.e1[:], net.e2[:] = 0, 0
         return Model(net.compact(), 0.3, {})
     used = [d for d, h in zip(docs, held) if not h]
-    net.start(used, y[~held])
+    net.start(used)
     net.train(used, y[~held], rng)
     logit = Scorer(net.compact()).logits(docs)
     fitted = held if y[held].sum() >= 5 else np.ones(len(docs), bool)
@@ -319,15 +332,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable, max_ro
     return [(r.text, int(r.l_y), r.lang) for r in sorted(rows.toLocalIterator(), key=lambda r: (r.l_id, r.text or ""))]
 
 
-def score_documents(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """row_ and score_ for every whole text (null: empty); nothing is shuffled."""
+def score_documents(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """row_ (the columns `keep`, or all) and score_ for every whole text (null: empty); nothing is shuffled."""
     held, key = docs.sparkSession.sparkContext.broadcast(model.parts), uuid.uuid4().hex
 
     def scores(texts: list[str]) -> np.ndarray:
         scorer = worker_cache(key, lambda: Scorer(held.value))
         return scorer.scores([scorer.words.of(t) for t in texts])
 
-    return with_scores(docs, text_col, scores, 512)
+    return with_scores(docs, text_col, scores, 512, keep)
 
 
 def threshold_of(model: Model, lang) -> F.Column:
@@ -352,7 +365,7 @@ def fit_on(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_on(spark, docs, sf_dir)
-    scored = score_documents(docs.select("doc_id", "lang", "text"), model)
+    scored = score_documents(docs, model, keep=["doc_id", "lang"])
     doc_id, lang = F.col("row_.doc_id"), F.col("row_.lang")
     return scored.select(
         doc_id.alias("doc_id"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from deltaspan.llm import ann, dedup, language, lm, mixing, pieces, quality, stages, token_output, topk, toxicity
-from deltaspan.llm.common import chosen
+from deltaspan.llm.common import chosen, spans
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [None, "", " ", "one", "ß 😀 的 x", "a\n\nb  c\t d", "long " * 20_000, "<|endoftext|> a", " leading", "x" * 3000]
@@ -185,6 +185,10 @@ def test_toxicity_learns_words():
     assert ((score >= 0.3) == y).mean() > 0.95
     long = scorer.scores([scorer.words.of(("w1 " * 50_000) + "idiot"), scorer.words.of(""), scorer.words.of("w1 " * 50_000)])
     assert long[0] > 0.3 > max(long[1:])
+    text = " ".join(words(3000, 5).split()[:2990] + ["you", "idiot", "clown"])
+    parts = toxicity.Scorer(toxicity.fit(sample[:400]).parts)
+    one, many = parts.logits([parts.words.of(text)]), [parts.logits([parts.words.of(text)], w) for w in (7, 100, 2993)]
+    assert all(np.allclose(one, m, atol=1e-5) for m in many)
     one = toxicity.fit([("a", 0, None)] * 5)
     assert 0 <= toxicity.Scorer(one.parts).scores([np.zeros(0, np.int64)])[0] < 0.3
 
@@ -209,6 +213,23 @@ def test_quality_orders_pairs():
     assert score(good[100:]).min() > model.threshold > score(bad[25:]).max()
 
 
+def test_long_texts_have_the_same_features(monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["a", "B ", "é", "\n", " ", "!", "7", "|", "\u2003", "w1 w1 ", "\x1c"]) for _ in range(4000)) for _ in range(5)] + [" ", "x" * 50, "a\nb\na\nb"]
+    for text in texts:
+        for size in (1, 10, 1000, 10**6):
+            monkeypatch.setattr(quality, "spans", lambda t, mark=None, size=size: spans(t, mark, size))
+            assert quality.long_features(text) == pytest.approx(quality.features(text))
+
+
+def test_spans_keep_words_whole():
+    text = "one  two\tthree\n\nfour " * 50
+    for size in (1, 5, 64, 10_000):
+        for t in (text, text.encode()):
+            parts = list(spans(t, size=size))
+            assert t[:0].join(parts) == t and [w for p in parts for w in p.split()] == t.split()
+
+
 def test_bradley_terry_recovers_weights():
     rng = np.random.default_rng(5)
     w = np.array([1.0, -2.0, 0.5])
