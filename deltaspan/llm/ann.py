@@ -5,17 +5,26 @@ largest length and gets one more coordinate that makes it of length one; queries
 are scaled to length one and get a zero. Both are rotated at random, so any block
 of columns is a fair sample of a distance.
 
-Centroids are fitted on a bounded sample; every vector goes to its nearest list.
-A query's first threshold is its (k + 1)-th best distance in that sample, and
-its nearest list, which it scans first, may lower it. In all lists columns are
+Centroids are fitted on a bounded sample; every vector goes to its nearest list,
+and the index stores its rotated columns beside the vector. How many lists a
+query probes is decided for it: with a list's spread about its centroid as that
+of a normal distribution, the inner products that the list may hold say how many
+of the query's neighbours to expect there, and the lists of the most are probed
+until they cover SHARE of all. Clustered vectors need few lists, vectors without
+structure many.
+
+A query's first threshold is its (k + 1)-th best distance in the sample, and
+its first list, which it scans first, may lower it. In all lists columns are
 read block by block, and after each block a hypothesis test abandons a
 candidate: its distance on d of D columns, scaled by D/d, lies above the
 threshold by more than 1 + epsilon/sqrt(d). Blocks are products of matrices
 while many candidates are left and run over the remaining pairs then. What
 survives all blocks is scored in double precision on the original vectors.
 
-Lists are cut into chunks of bounded size, so a list with a third of all vectors
-is many tasks; equal vectors are one candidate (see vectors).
+Lists are cut into chunks of bounded size and stand in groups of neighbouring
+lists; a query travels once to each piece of a group that it probes, with the
+lists as bits. So a list with a third of all vectors is many tasks; equal vectors
+are one candidate (see vectors).
 """
 
 from __future__ import annotations
@@ -28,20 +37,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from deltaspan.llm.common import checkpoint, ship
-from deltaspan.llm.vectors import QUERY_MOD, classes, merged, results, valid
+from deltaspan.llm.common import checkpoint, chosen, ship
+from deltaspan.llm.vectors import NONE, classes, commonest_length, distinct_queries, merged, other_ids, query_rows, results, valid
 
-K, SAMPLE, ROUNDS, COLUMNS, EPSILON, SEED = 20, 8192, 8, 16, 2.1, 13
+K, ROUNDS, COLUMNS, EPSILON, SEED = 20, 8, 16, 2.1, 13
+#: Vectors that the centroids are fitted on: so many for each list, within the two limits.
+PER_CENTROID, SAMPLE, MOST_SAMPLE = 16, 8192, 131_072
 #: Rows of a list that one row of the index holds, and queries that meet them at once.
 CHUNK, QUERY_CHUNK = 4096, 1024
-#: Share of the lists that a query probes, and vectors per list that the number of lists aims at.
-PROBE, PER_LIST, MOST_LISTS = 0.65, 400, 4096
+#: Vectors per list that the number of lists aims at, their largest number, and lists of a group.
+PER_LIST, MOST_LISTS, GROUP = 400, 8192, 32
+#: Share of the expected neighbours that the probed lists of a query cover.
+SHARE = 0.97
+#: Chunks of a group that a piece of it has at most, on average.
+PIECE = 64
 #: More than the k + 1 that could be needed, since distances in single precision order what each chunk gives.
 SPARE = 8
 
 
+def tail(x: np.ndarray) -> np.ndarray:
+    """About the chance that a standard normal number lies above x (Lin's exponential form)."""
+    y = np.abs(x)
+    p = 0.5 * np.exp(-0.717 * y - 0.416 * y * y)
+    return np.where(x >= 0, p, 1 - p)
+
+
 class Space:
-    """The rotated space of augmented vectors and the lists' centroids."""
+    """The rotated space of augmented vectors, the lists' centroids, sizes and spreads."""
 
     def __init__(self, dim: int, most: float, rng: np.random.Generator):
         self.dim, self.most = dim, most
@@ -53,31 +75,66 @@ class Space:
         return (np.c_[x, rest] @ self.turn).astype(np.float32)
 
     def queries(self, v: np.ndarray) -> np.ndarray:
-        x = v / np.sqrt((v * v).sum(1, keepdims=True))
+        x = v / np.abs(v).max(1, keepdims=True)
+        x = x / np.sqrt((x * x).sum(1, keepdims=True))
         return (np.c_[x, np.zeros(len(x))] @ self.turn).astype(np.float32)
 
-    def fit(self, sample: np.ndarray, lists: int, rng: np.random.Generator, rounds: int = ROUNDS) -> None:
+    def fit(self, sample: np.ndarray, lists: int, n: int, rng: np.random.Generator, rounds: int = ROUNDS) -> None:
+        """From a sample of n vectors."""
         x = self.sample = self.candidates(sample)
-        self.centroids = x[rng.permutation(len(x))[:lists]].copy()
+        self.n, self.centroids = n, x[rng.permutation(len(x))[:lists]].copy()
         for _ in range(rounds):
-            at = self.nearest(x, 1)[:, 0]
-            for i in range(len(self.centroids)):
-                if (at == i).any():
-                    self.centroids[i] = x[at == i].mean(0)
+            at = self.nearest(x)
+            sums, size = self._sums(x, at)
+            self.centroids[size > 0] = (sums / np.maximum(size, 1)[:, None])[size > 0]
+        # Neighbouring lists get neighbouring numbers.
+        main = np.linalg.svd(self.centroids - self.centroids.mean(0), full_matrices=False)[2][0]
+        self.centroids = self.centroids[np.argsort(self.centroids @ main, kind="stable")]
+        at = self.nearest(x)
+        size = np.bincount(at, minlength=len(self.centroids))
+        off = ((x - self.centroids[at]) ** 2).mean(1)
+        spread = np.bincount(at, off, minlength=len(size)) / np.maximum(size, 1)
+        # Lists of few sample vectors lean on the mean of all.
+        self.spread = np.sqrt((spread * size + off.mean() * 4) / (size + 4) + 1e-12)
+        self.size = (size + 0.5) * (n / (len(x) + 0.5 * len(size)))
+
+    def _sums(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(at, kind="stable")
+        size = np.bincount(at, minlength=len(self.centroids))
+        first = np.minimum(np.cumsum(size) - size, len(x) - 1)
+        return np.add.reduceat(x[order], first, axis=0), size
 
     def limits(self, q: np.ndarray, k: int) -> np.ndarray:
         """The k-th best squared distance of each query in the sample, 8 (more than any) if the sample is smaller."""
         if len(self.sample) < k:
             return np.full(len(q), 8.0)
-        far = 1 + (self.sample**2).sum(1)[None, :] - 2 * q @ self.sample.T
-        return np.partition(far, k - 1, axis=1)[:, k - 1].astype(np.float64)
-
-    def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The n nearest lists, nearest first."""
-        far = (self.centroids**2).sum(1)[None, :] - 2 * x @ self.centroids.T
-        n = min(n, far.shape[1])
-        part = np.argpartition(far, n - 1, axis=1)[:, :n]
-        return np.take_along_axis(part, np.take_along_axis(far, part, 1).argsort(1, kind="stable"), 1)
+        length, out = (self.sample**2).sum(1), []
+        for at in range(0, len(q), 128):
+            far = 1 + length[None, :] - 2 * q[at : at + 128] @ self.sample.T
+            out.append(np.partition(far, k - 1, axis=1)[:, k - 1].astype(np.float64))
+        return np.concatenate(out)
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        """The nearest list of each vector."""
+        length = (self.centroids**2).sum(1)
+        return np.concatenate([(length[None, :] - 2 * x[at : at + 1024] @ self.centroids.T).argmin(1) for at in range(0, len(x), 1024)])
+
+    def probes(self, q: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the lists to probe, as booleans, and the first of them."""
+        near = (q @ self.centroids.T).astype(np.float64)
+        low, high = np.full(len(q), -1.5), np.full(len(q), 1.5)
+        expected = lambda t: self.size * tail((t[:, None] - near) / self.spread)
+        for _ in range(18):  # the inner product that k vectors are expected to reach
+            middle = (low + high) / 2
+            many = expected(middle).sum(1) > min(k, self.n)
+            low, high = np.where(many, middle, low), np.where(many, high, middle)
+        hits = expected(low)
+        order = np.argsort(-hits, axis=1, kind="stable")
+        covered = np.cumsum(np.take_along_axis(hits, order, 1), axis=1)
+        needed = (covered < share * covered[:, -1:]).sum(1) + 1
+        out = np.zeros(hits.shape, bool)
+        np.put_along_axis(out, order, np.arange(hits.shape[1])[None, :] < needed[:, None], axis=1)
+        return out, order[:, 0]
 
 
 def scan(q: np.ndarray, x: np.ndarray, limit: np.ndarray, columns: int = COLUMNS, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,100 +164,146 @@ def scan(q: np.ndarray, x: np.ndarray, limit: np.ndarray, columns: int = COLUMNS
             return i, j, left
 
 
-def _lists(rows: DataFrame, space, n: int, k: int = 0) -> DataFrame:
-    """cls, v, list, rank, limit: each vector at its n nearest lists; with k, vectors are queries and get first limits."""
+class Layout:
+    """Lists in groups of at most GROUP, and groups in pieces."""
+
+    def __init__(self, lists: int, n: int, tasks: int):
+        self.per = max(1, min(GROUP, lists // max(tasks, 1)))
+        self.groups = -(-lists // self.per)
+        self.pieces = max(1, -(-n // (self.groups * CHUNK * PIECE)))
+
+
+def _indexed(members: DataFrame, space, layout: Layout) -> DataFrame:
+    """group, piece, slot, cls, low, next_, v, turned: a row for at most some CHUNK rows of a list."""
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = space.value
         for full in batches:
             for at in range(0, full.num_rows, 2048):
                 batch = full.slice(at, 2048)
-                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                x = s.queries(v) if k else s.candidates(v)
-                found = s.nearest(x, n)
-                limit = s.limits(x, k) if k else np.zeros(len(x))
-                again = np.repeat(np.arange(len(v)), found.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(again)), batch.column(1).take(pa.array(again)), pa.array(found.ravel().astype(np.int32)), pa.array(np.tile(np.arange(found.shape[1], dtype=np.int32), len(v))), pa.array(limit[again])], ["cls", "v", "list", "rank", "limit"])
-
-    return rows.mapInArrow(assigned, "cls bigint, v array<double>, list int, rank int, limit double")
+                x = s.candidates(batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+                turned = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(4)] + [turned, pa.array(s.nearest(x).astype(np.int32))], ["cls", "low", "next_", "v", "turned", "list"])
 
-
-def _packed(rows: DataFrame, size: int, *more: str) -> DataFrame:
-    """list, chunk, ids, data: at most some `size` rows of a list together; `more` names double columns to keep."""
-    count = rows.groupBy("list").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(size))).cast("int").alias("chunks"))
+    rows = members.select("cls", "low", "next_", "v").mapInArrow(assigned, "cls bigint, low bigint, next_ bigint, v array<double>, turned array<float>, list int")
+    rows = checkpoint(rows)
+    count = rows.groupBy("list").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(CHUNK))).cast("int").alias("chunks"))
     cut = rows.join(count, "list").withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "cls"), F.col("chunks")).cast("int"))
-    each = cut.groupBy("list", "chunk").agg(F.collect_list(F.struct("cls", "v", *more)).alias("rows"))
-    return each.select("list", "chunk", F.col("rows")["cls"].alias("ids"), F.flatten(F.col("rows")["v"]).alias("data"), *[F.col("rows")[m].alias(m) for m in more])
+    each = cut.groupBy("list", "chunk").agg(F.collect_list(F.struct("cls", "low", "next_", "v", "turned")).alias("rows"))
+    group, piece = F.floor(F.col("list") / layout.per).cast("int"), F.pmod(F.xxhash64("list", "chunk"), F.lit(layout.pieces)).cast("int")
+    return each.select(group.alias("group"), piece.alias("piece"), (F.col("list") % layout.per).alias("slot"), *[F.col("rows")[c].alias(c) for c in ("cls", "low", "next_")], F.flatten(F.col("rows")["v"]).alias("v"), F.flatten(F.col("rows")["turned"]).alias("turned"))
+
 
+def _probed(queries: DataFrame, space, layout: Layout, k: int, share: float) -> DataFrame:
+    """qcls, own, v, limit, group, first, lists, others: a row for each group, with its lists to probe first, then and not, as bits."""
 
-def _search(index: DataFrame, asked: DataFrame, space, k: int) -> DataFrame:
-    """qcls, cls, score: of each chunk, the best k + 1 of each query that probes its list; `limit` bounds squared distances."""
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = space.value
+        bits = np.int64(1) << np.arange(layout.per, dtype=np.int64)
+        for full in batches:
+            for at in range(0, full.num_rows, 512):
+                batch = full.slice(at, 512)
+                own = batch.column(1).to_numpy(zero_copy_only=False)
+                q = s.queries(batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+                wanted, first = s.probes(q, k, share)
+                # Rows under the query's own id are no candidates, but the sample may hold them.
+                limit = np.where(own != NONE, 8.0, s.limits(q, k))
+                start = np.zeros(wanted.shape, bool)
+                start[np.arange(len(q)), first] = True
+                pad = layout.groups * layout.per - wanted.shape[1]
+                masks = [(np.pad(m, ((0, 0), (0, pad))).reshape(len(q), layout.groups, layout.per) * bits).sum(2) for m in (start, wanted & ~start, ~wanted)]
+                row, group = np.nonzero(np.ones((len(q), layout.groups), bool))
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(take) for c in range(3)] + [pa.array(limit[row]), pa.array(group.astype(np.int32)), *(pa.array(m[row, group]) for m in masks)], ["qcls", "own", "v", "limit", "group", "first", "lists", "others"])
+
+    return queries.select("qcls", "own", "v").mapInArrow(probed, "qcls bigint, own bigint, v array<double>, limit double, group int, first bigint, lists bigint, others bigint")
+
+
+def _search(index: DataFrame, asked: DataFrame, space, layout: Layout, k: int) -> DataFrame:
+    """qcls, own, cls, low, score of each chunk, the best k + 1 of each query that probes its list (`lists`); `limit` bounds squared distances."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = space.value
         for batch in batches:
             for n in range(batch.num_rows):
-                qids, qdata, limit, ids, data = (batch.column(c).slice(n, 1).flatten().to_numpy(zero_copy_only=False) for c in range(5))
-                qv, xv = qdata.reshape(len(qids), -1), data.reshape(len(ids), -1)
-                i, j, left = scan(s.queries(qv), s.candidates(xv), limit.astype(np.float32))
+                slot = batch.column(0)[n].as_py()
+                lists, qcls, own, qdata, limit, cls, low, next_, data, turned = (batch.column(c).slice(n, 1).flatten().to_numpy(zero_copy_only=False) for c in range(1, 11))
+                asks = np.flatnonzero(lists >> slot & 1)
+                if not len(asks):
+                    continue
+                qv, xv = qdata.reshape(len(qcls), -1)[asks], data.reshape(len(cls), -1)
+                i, j, left = scan(s.queries(qv), turned.reshape(len(cls), -1), limit[asks].astype(np.float32))
+                mine, theirs = own[asks], other_ids(own[asks][i], low[j], next_[j])
+                i, j, left, theirs = (x[theirs != NONE] for x in (i, j, left, theirs))
                 order = np.lexsort((left, i))
-                i, j = i[order], j[order]
-                place = np.arange(len(i)) - np.searchsorted(i, np.arange(len(qids)))[i]
-                i, j = i[place < k + 1 + SPARE], j[place < k + 1 + SPARE]
+                i, j, theirs = i[order], j[order], theirs[order]
+                place = np.arange(len(i)) - np.searchsorted(i, np.arange(len(asks)))[i]
+                i, j, theirs = (x[place < k + 1 + SPARE] for x in (i, j, theirs))
                 score = np.einsum("ij,ij->i", qv[i], xv[j])
-                yield pa.RecordBatch.from_arrays([pa.array(qids[i]), pa.array(ids[j]), pa.array(score)], ["qcls", "cls", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(qcls[asks][i]), pa.array(mine[i]), pa.array(cls[j]), pa.array(theirs), pa.array(score)], ["qcls", "own", "cls", "low", "score"])
 
-    q = asked.withColumnsRenamed({"ids": "qids", "data": "qdata", "chunk": "qchunk"})
+    spread = asked.where("lists <> 0").withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(layout.pieces - 1))))
+    count = spread.groupBy("group", "piece").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(QUERY_CHUNK))).cast("int").alias("chunks"))
+    cut = spread.join(count, ["group", "piece"]).withColumn("chunk", F.pmod(F.xxhash64("qcls", "own"), F.col("chunks")).cast("int"))
+    q = cut.groupBy("group", "piece", "chunk").agg(F.collect_list(F.struct("lists", "qcls", "own", "v", "limit")).alias("rows"))
+    q = q.select("group", "piece", *[F.col("rows")[c].alias(c) for c in ("lists", "qcls", "own")], F.flatten(F.col("rows")["v"]).alias("qv"), F.col("rows")["limit"].alias("limit"))
     tasks = max(12, 2 * q.sparkSession.sparkContext.defaultParallelism)
-    return q.join(index, "list").select("qids", "qdata", "limit", "ids", "data").repartition(tasks, F.xxhash64("qids", "ids")).mapInArrow(found, "qcls bigint, cls bigint, score double")
+    n = min(max(tasks, layout.groups * layout.pieces), 20_000)
+    both = q.repartition(n, "group", "piece").join(index.repartition(n, "group", "piece"), ["group", "piece"])
+    return both.select("slot", "lists", "qcls", "own", "qv", "limit", "cls", "low", "next_", "v", "turned").mapInArrow(found, "qcls bigint, own bigint, cls bigint, low bigint, score double")
 
 
-def nearest(table: DataFrame, k: int = K, *, id_col: str = "vec_id", vec_col: str = "embedding", probe: float = PROBE, per_list: int = PER_LIST) -> DataFrame:
+def nearest(table: DataFrame, k: int = K, *, id_col: str = "vec_id", vec_col: str = "embedding", share: float = SHARE, per_list: int = PER_LIST) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by 20, the k nearest found among all other rows.
 
     Rows without an id, or whose vector is null, empty, zero or holds null or
     non-finite components, take no part, nor do vectors of another length than
     the commonest. A query whose probed lists hold no k candidates gets them from
-    all lists; a table of fewer rows gives fewer. Ties go to the smaller id; rows
-    that share an id count as the query's own.
+    all lists; a table of fewer rows gives fewer, an empty one none. Ties go to
+    the smaller id. Repeated rows count once. Rows that share an id with the
+    query are no candidates; where a query id has several vectors, its list holds
+    the best of all their scores. Only the two named columns are read, so others
+    may have any name.
     """
     spark = table.sparkSession
     ship(spark)
-    rows = valid(table, id_col, vec_col).where(F.exists("v", lambda x: x != 0))
-    rows = checkpoint(rows)
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if sizes is None:
+    rows = checkpoint(valid(table, id_col, vec_col).where(F.exists("v", lambda x: x != 0)))
+    dim = commonest_length(rows)
+    if dim is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    rows = rows.where(F.size("v") == sizes["d"])
-    members = checkpoint(classes(rows, k))
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    rows = rows.where(F.size("v") == dim)
+    members = classes(rows, k)
+    largest = F.array_max(F.transform("v", F.abs))
+    length = largest * F.sqrt(F.aggregate(F.transform("v", lambda x: x / largest), F.lit(0.0), lambda a, x: a + x * x))
     n, most = members.agg(F.count("*"), F.max(length)).first()
     rng = np.random.default_rng(SEED)
-    space = Space(sizes["d"], float(most) * (1 + 1e-12), rng)
-    sample = members.orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).select("v").collect()
-    lists = int(min(MOST_LISTS, max(1, n // per_list), len(sample)))
-    space.fit(np.array([r.v for r in sample]), lists, rng)
+    space = Space(dim, float(most) * (1 + 1e-12), rng)
+    lists = int(min(MOST_LISTS, max(1, n // per_list)))
+    sample = chosen(members.select("low", "v"), "low", min(MOST_SAMPLE, max(SAMPLE, PER_CENTROID * lists)), "ann").select("v").toArrow().column(0).combine_chunks()
+    space.fit(sample.flatten().to_numpy(zero_copy_only=False).reshape(len(sample), -1), min(lists, len(sample)), n, rng)
     held = spark.sparkContext.broadcast(space)
-    index = checkpoint(_packed(_lists(members.select("cls", "v"), held, 1), CHUNK))
-    asked = checkpoint(rows.where(F.col("vec_id") % QUERY_MOD == 0).join(members.select("v", F.col("cls").alias("qcls")), "v").select("vec_id", "qcls", "v"))
-    probes = max(1, int(np.ceil(probe * lists)))
-    queries = checkpoint(_lists(asked.groupBy("qcls").agg(F.first("v").alias("v")), held, probes, k + 1))
-    first = checkpoint(_search(index, _packed(queries.where("rank = 0"), QUERY_CHUNK, "limit"), held, k))
-    ranked = first.withColumn("rank_", F.row_number().over(W.partitionBy("qcls").orderBy(F.desc("score"), "cls"))).where(F.col("rank_") <= k + 1)
-    best = ranked.groupBy("qcls").agg(F.min("score").alias("score"), F.count("*").alias("n"))
-    scale = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)) * F.lit(space.most)
-    limit = F.when(F.col("n") > k, F.least("limit", 2 - 2 * F.col("score") / scale)).otherwise(F.col("limit"))
-    rest = queries.where("rank > 0").withColumnRenamed("cls", "qcls").join(best, "qcls", "left").withColumn("limit", limit).withColumnRenamed("qcls", "cls")
-    hits = first.unionByName(_search(index, _packed(rest.select("cls", "v", "list", "limit"), QUERY_CHUNK, "limit"), held, k))
-    if probes < lists:
-        # Queries that found too few scan what they haven't probed.
-        hits = checkpoint(hits)
-        ids = hits.join(members.select("cls", F.size("ids").alias("rows")), "cls").groupBy("qcls").agg(F.sum("rows").alias("rows"))
-        poor = asked.select("qcls", "v").dropDuplicates(["qcls"]).join(ids, "qcls", "left").where(F.coalesce("rows", F.lit(0)) <= k).select(F.col("qcls").alias("cls"), "v")
-        if not poor.isEmpty():
-            others = _lists(poor, held, lists, k + 1).where(F.col("rank") >= probes).withColumn("limit", F.lit(8.0))
-            hits = hits.unionByName(_search(index, _packed(others, QUERY_CHUNK, "limit"), held, k))
-    return results(merged(hits, members, k), asked.select("vec_id", "qcls"), k, "double")
+    layout = Layout(len(space.centroids), n, max(12, 2 * spark.sparkContext.defaultParallelism))
+    index = checkpoint(_indexed(members, held, layout))
+    asked = query_rows(rows, members)
+    queries = checkpoint(_probed(distinct_queries(asked), held, layout, k + 1, share))
+    keys, beyond = ["qcls", "own"], F.lit(None).cast("binary").alias("beyond")
+    first = checkpoint(_search(index, queries.withColumn("lists", F.col("first")), held, layout, k))
+    ranked = first.withColumn("rank_", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "low"))).where(F.col("rank_") <= k + 1)
+    best = ranked.groupBy(*keys).agg(F.min("score").alias("score"), F.count("*").alias("n"))
+    largest = F.array_max(F.transform("v", F.abs))
+    scale = largest * F.sqrt(F.aggregate(F.transform("v", lambda x: x / largest), F.lit(0.0), lambda a, x: a + x * x)) * F.lit(space.most)
+    limit = F.when(F.col("n") > k, F.least("limit", 2 - 2 * F.try_divide(F.col("score"), scale))).otherwise(F.col("limit"))
+    rest = queries.where("lists <> 0").join(best, keys, "left").withColumn("limit", limit)
+    hits = checkpoint(first.unionByName(_search(index, rest, held, layout, k)))
+    # Queries that found too few scan what they haven't probed.
+    rows_of = hits.join(members.select("cls", F.size("ids").alias("rows")), "cls").groupBy(*keys).agg(F.sum("rows").alias("rows"))
+    poor = asked.select(*keys).distinct().join(rows_of, keys, "left").where(F.coalesce("rows", F.lit(0)) <= k).select(*keys)
+    if not poor.isEmpty():
+        others = queries.join(poor, keys).withColumn("lists", F.col("others")).withColumn("limit", F.lit(8.0))
+        again = queries.join(poor, keys).withColumn("lists", F.col("lists").bitwiseOR(F.col("first"))).withColumn("limit", F.lit(8.0))
+        hits = hits.unionByName(_search(index, others, held, layout, k)).unionByName(_search(index, again, held, layout, k)).dropDuplicates([*keys, "cls"])
+    hits = hits.select(*keys, "cls", "low", "score", beyond)
+    return results(merged(hits, members, k), asked.select("vec_id", *keys), k, "double")
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

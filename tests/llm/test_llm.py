@@ -1,11 +1,13 @@
 """Each operator on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, odd columns."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -307,6 +309,56 @@ def test_top_k_with_ties_and_copies(spark):
     assert topk.top_k(vectors(spark, x).where("embedding is null")).count() == 0
 
 
+def repeated(rows, k, zero=False):
+    """The best k of all rows of a query id against rows of other ids, as SQL gives them."""
+    rows = sorted({(i, tuple(v)) for i, v in rows})
+    out = {}
+    for q in {i for i, v in rows if i % 20 == 0}:
+        scores = [(-sum(a * b for a, b in zip(v, w)), j) for i, v in rows if i == q for j, w in rows if j != q]
+        out[q] = [(j, -s) for s, j in sorted(scores)[:k]]
+    return out
+
+
+def test_ids_with_several_vectors(spark):
+    rng = np.random.default_rng(17)
+    rows = [(i, [int(a) for a in rng.integers(-9, 9, 6)]) for i in range(60)]
+    rows += [(20, [m * a for a in rows[20][1]]) for m in range(2, 60)] + [(20, rows[7][1]), (7, rows[20][1]), (40, rows[20][1]), (13, rows[5][1])]
+    df = spark.createDataFrame([(i, [a / 64 for a in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    want = repeated(rows, 20)
+    got = listed(topk.top_k(df))
+    assert got == {q: [(j, float(s)) for j, s in v] for q, v in want.items()}
+    whole = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    assert listed(ann.nearest(whole, share=1.0, per_list=10)) == {q: [(j, float(s)) for j, s in v] for q, v in want.items()}
+
+
+@pytest.mark.parametrize("huge", [1e9, 3e16, 1e150, 1e306])
+def test_any_finite_component(spark, huge):
+    rng = np.random.default_rng(18)
+    x = [[float(a) for a in v] for v in rng.normal(size=(90, 5))]
+    x[3][0] = x[20][0] = huge
+    x[21] = [-huge, 1.0, huge, 0.5, 0.25]
+    x[40][2] = -huge / 3
+    whole = [[math.floor(64 * a) if abs(64 * a) < 2**53 else int(64 * a) for a in v] for v in x]
+    want = repeated(list(enumerate(whole)), 20)
+    got = listed_whole(topk.top_k(spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")))
+    assert got == {q: [(j, min(max(s, -(2**63)), 2**63 - 1)) for j, s in v] for q, v in want.items()}
+
+
+def listed_whole(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r.query_id, r["rank"])):
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    return out
+
+
+def test_blocks_are_skipped_only_where_they_may_be(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "HEAD", 8)
+    rng = np.random.default_rng(19)
+    x = rng.normal(size=(900, 8)) * rng.pareto(1.5, size=(900, 1))
+    assert listed(topk.top_k(vectors(spark, x), 3)) == brute(np.floor(64 * x), np.arange(900), 3)
+
+
 def test_nearest_recall(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(3000, 16))
@@ -327,6 +379,24 @@ def test_nearest_recall(spark):
     assert ann.nearest(vectors(spark, x).where("embedding is null")).count() == 0
 
 
+@pytest.mark.parametrize("centres", [0, 200])
+def test_recall_holds_as_tables_grow(spark, centres):
+    rng = np.random.default_rng(20)
+    for n in (4000, 50_000):
+        x = rng.normal(size=(n, 32)) * (0.3 if centres else 1.0)
+        x += rng.normal(size=(centres, 32))[rng.integers(0, centres, n)] if centres else 0.0
+        table = pa.table({"vec_id": np.arange(n) * 20 + (np.arange(n) % (n // 100) > 0), "embedding": list(x)})
+        df = spark.createDataFrame(table.to_pandas()).repartition(8)
+        got = {q: {v for v, _ in found} for q, found in listed(ann.nearest(df)).items()}
+        ids = table["vec_id"].to_numpy()
+        places = np.flatnonzero(ids % 20 == 0)
+        score = x[places] @ x.T
+        score[np.arange(len(places)), places] = -np.inf
+        best = np.argpartition(-score, 20, axis=1)[:, :20]
+        assert len(got) == len(places) == 100
+        assert np.mean([len(got[int(ids[p])] & set(ids[b].tolist())) / 20 for p, b in zip(places, best)]) >= 0.9
+
+
 # --- language model
 
 
