@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -380,13 +381,14 @@ def test_nearest_recall(spark):
 
 
 @pytest.mark.parametrize("centres", [0, 200])
-def test_recall_holds_as_tables_grow(spark, centres):
+def test_recall_holds_as_tables_grow(spark, tmp_path, centres):
     rng = np.random.default_rng(20)
     for n in (4000, 50_000):
         x = rng.normal(size=(n, 32)) * (0.3 if centres else 1.0)
         x += rng.normal(size=(centres, 32))[rng.integers(0, centres, n)] if centres else 0.0
         table = pa.table({"vec_id": np.arange(n) * 20 + (np.arange(n) % (n // 100) > 0), "embedding": list(x)})
-        df = spark.createDataFrame(table.to_pandas()).repartition(8)
+        pq.write_table(table, tmp_path / f"{n}.parquet", row_group_size=5000)
+        df = spark.read.parquet(str(tmp_path / f"{n}.parquet"))
         got = {q: {v for v, _ in found} for q, found in listed(ann.nearest(df)).items()}
         ids = table["vec_id"].to_numpy()
         places = np.flatnonzero(ids % 20 == 0)
