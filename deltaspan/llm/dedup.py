@@ -7,16 +7,20 @@ mantissa bits. Sets of at least `split` shingles spread over buckets of one hash
 give each bucket a hash function of its own. Sets up to a quarter above `split`
 have both sketches, so any two sets that may be linked share one kind.
 
-1. Equal sets become one class, whose smallest doc_id stands for it; a group of
-   thousands of copies is one row from here on.
+1. Equal sets become one class with a number of its own; a group of thousands
+   of copies is one row from here on.
 2. Bands of registers are keys. Every class meets the leader of each of its
    buckets. Jaccard estimates, corrected for registers that agree by chance,
-   sort out most wrong pairs; the rest are verified on full sets.
+   sort out most wrong pairs; the rest are verified on full sets: a leader's set
+   goes once to each chunk of its members, which are compared as they stream by.
 3. Verified links give components. Buckets that still span several components
    are compared once more, members of different components only, so a link that
-   no leader saw is found as well: by estimates and verification in small
-   buckets, on full sets at once in larger ones. Buckets too large for one task
-   are cut into blocks, and each two blocks that may hold a link meet in a task.
+   no leader saw is found as well: on full sets, in groups of a bounded number of
+   shingles. Buckets too large for one group are cut into blocks, and each two
+   blocks that may hold a link meet in a group.
+
+Keys that very many rows share (a band, a leader, a set, a component) join by
+broadcast: at most HOT keys can have more than a HOT-th of all rows each.
 
 With 40 bands of 5 registers a pair at similarity 0.8 shares no band once in
 8 million times.
@@ -33,10 +37,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from deltaspan.llm.common import checkpoint, checkpoint_dir, ship, worker_cache
 
 EMPTY = np.uint16(0xFFFF)
+HOT = 20_000
 U = np.uint64
 
 
@@ -49,8 +55,8 @@ class Config:
     split: int = 400
     mantissa: int = 10
     slack: float = 5.0  # standard deviations that an estimate may lie below the similarity
-    large_bucket: int = 4000
-    family: int = 8_000  # members of overlapping buckets that one task compares
+    chunk: int = 512  # members that meet their leader together
+    group: int = 2_000_000  # shingles that one group of an exact comparison holds
     broadcast_rows: int = 2_000_000  # ids (8 bytes each) up to which a semi-join broadcasts
 
     @property
@@ -170,6 +176,11 @@ def lowest(c: Config) -> float:
     return s - c.slack * (s * (1 - s) / (0.9 * c.registers)) ** 0.5
 
 
+def fingerprint(h: np.ndarray) -> bytes | None:
+    """128 bits of a set, None for an empty one."""
+    return mix(h).sum(dtype=np.uint64).tobytes() + mix(h ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).tobytes() if len(h) else None
+
+
 def _hashes() -> Hashes:
     return worker_cache("shingles", Hashes)
 
@@ -183,19 +194,79 @@ def sketches(docs: DataFrame, c: Config, id_col: str, text_col: str) -> DataFram
         for full in batches:
             for at in range(0, full.num_rows, 512):
                 part = full.slice(at, 512)
-                n, prints, found = [], [], []
+                n, marks, found = [], [], []
                 for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     h = hashes.shingles(text, c.shingle)
                     n.append(len(h))
                     linked = len(h) > 0 and key is not None
-                    prints.append((mix(h).sum(dtype=np.uint64).tobytes() + mix(h ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).tobytes()) if linked else None)
+                    marks.append(fingerprint(h) if linked else None)
                     found.append(sketch.of(h) if linked else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(found, pa.binary())], ["doc_id", "n", "print", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(marks, pa.binary()), pa.array(found, pa.binary())], ["doc_id", "n", "print", "sketch"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(made, "doc_id bigint, n bigint, print binary, sketch binary")
 
 
+def prints(docs: DataFrame, c: Config, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, print, held (all hashes of the set) of rows with a set."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _hashes()
+        for full in batches:
+            for at in range(0, full.num_rows, 512):
+                part = full.slice(at, 512)
+                sets = [hashes.shingles(t, c.shingle) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([fingerprint(h) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], ["doc_id", "print", "held"])
+
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return rows.mapInArrow(made, "doc_id bigint, print binary, held binary").where(F.col("print").isNotNull())
+
+
+def marked(rows: DataFrame, c: Config) -> DataFrame:
+    """The rows (with a column `text`) and `print`, null without a set."""
+    ship(rows.sparkSession)
+    schema = StructType([*rows.schema.fields, StructField("print", BinaryType())])
+    place, names = rows.columns.index("text"), [*rows.columns, "print"]
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _hashes()
+        for full in batches:
+            found = [fingerprint(hashes.shingles(t, c.shingle)) for t in full.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*full.columns, pa.array(found, pa.binary())], names)
+
+    return rows.mapInArrow(made, schema)
+
+
+def full_sets(need: DataFrame, classes: DataFrame, docs: DataFrame, c: Config, id_col: str, text_col: str) -> DataFrame:
+    """rep, held: the sets of the classes `need` (rep), written in the shared folder.
+
+    Texts are read again, of those ids only; where an id repeats, the row with
+    the class's set stands for it.
+    """
+    spark = docs.sparkSession
+    need = checkpoint(need.distinct().join(classes.select("rep", "low", "print"), "rep"))
+    lows = need.select(F.col("low").alias("n_id")).distinct()
+    if need.count() <= c.broadcast_rows:
+        lows = F.broadcast(lows)
+    some = docs.select(F.col(f"`{id_col}`").cast("long").alias("t_id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(lows, F.col("t_id") == F.col("n_id"), "left_semi")
+    found = prints(some, c, "t_id", "text").withColumnRenamed("print", "p_")
+    found = found.join(need, (F.col("doc_id") == F.col("low")) & (F.col("p_") == F.col("print"))).select("rep", "held").dropDuplicates(["rep"])
+    path = f"{checkpoint_dir(spark)}/sets_{uuid.uuid4().hex}"
+    found.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def frequent(n: int) -> int:
+    """Rows that a key has at least to count as hot, if there are n rows: so at most HOT keys are."""
+    return max(1000, -(-n // HOT))
+
+
+def with_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """The inner join on `key`, where `hot` (key) names at most HOT keys, whose rows of `right`, one each, are broadcast."""
+    hot = F.broadcast(hot)
+    return left.join(F.broadcast(right.join(hot, key, "left_semi")), key).unionByName(left.join(hot, key, "left_anti").join(right, key))
+
+
 def banded(classes: DataFrame, c: Config) -> DataFrame:
     """key, rep: a row for each band of each class."""
 
@@ -210,11 +281,17 @@ def banded(classes: DataFrame, c: Config) -> DataFrame:
     return classes.select("rep", "sketch").mapInArrow(keys, "key bigint, rep bigint")
 
 
+def hot_leaders(pairs: DataFrame) -> DataFrame:
+    """lead, members: leaders of so many pairs that they count as hot; checkpointed."""
+    return checkpoint(pairs.groupBy("lead").agg(F.count("*").alias("members")).where(F.col("members") > frequent(pairs.count())))
+
+
 def similar(pairs: DataFrame, classes: DataFrame, c: Config) -> DataFrame:
-    """Pairs (a, b) whose estimate is not clearly below the similarity."""
-    one = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    two = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    joined = pairs.join(one, "a").join(two, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * c.similarity)
+    """Pairs (lead, rep) whose estimate is not clearly below the similarity. `pairs` is checkpointed."""
+    one = classes.select(F.col("rep").alias("lead"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    two = classes.select("rep", F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    both = with_hot(pairs.join(two, "rep"), one, "lead", hot_leaders(pairs).select("lead"))
+    joined = both.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * c.similarity)
     least = lowest(c)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,40 +303,41 @@ def similar(pairs: DataFrame, classes: DataFrame, c: Config) -> DataFrame:
                     x, y = registers(sa, c), registers(sb, c)
                     kind = max(set(x) & set(y), default=None)
                     good.append(kind is not None and float(estimate(x[kind], y[kind], c)) >= least)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(good)), part.column(1).filter(pa.array(good))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(good)), part.column(1).filter(pa.array(good))], ["lead", "rep"])
 
-    return joined.select("a", "b", "sa", "sb").mapInArrow(kept, "a bigint, b bigint")
+    return joined.select("lead", "rep", "sa", "sb").mapInArrow(kept, "lead bigint, rep bigint")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, c: Config, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the similarity. `pairs` is checkpointed."""
-    spark = docs.sparkSession
-    need = pairs.select(F.explode(F.array("a", "b")).alias("t_id")).distinct()
-    if need.count() <= c.broadcast_rows:
-        need = F.broadcast(need)
-    texts = docs.select(F.col(id_col).cast("long").alias("t_id"), F.col(text_col).cast("string").alias("text")).join(need, "t_id", "left_semi")
-    # Where an id repeats, the same row stands for it on both sides.
-    texts = texts.groupBy("t_id").agg(F.min("text").alias("text"))
-    ship(spark)
+def verified(pairs: DataFrame, sets: DataFrame, c: Config) -> DataFrame:
+    """Pairs (a, b) whose full sets reach the similarity. `pairs` (lead, rep) is checkpointed.
+
+    Members of a leader fall into chunks; the leader's set goes to each chunk
+    once and comes first there, so a task holds two sets at a time.
+    """
+    count = pairs.groupBy("lead").agg(F.ceil(F.count("*") / F.lit(c.chunk)).cast("int").alias("chunks"))
+    hot = hot_leaders(pairs).select("lead")
+    dealt = with_hot(pairs, count, "lead", hot).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    members = dealt.join(sets, "rep").select("lead", "chunk", "rep", "held")
+    heads = count.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(sets.withColumnRenamed("rep", "lead"), "lead").select("lead", "chunk", F.lit(None).cast("long").alias("rep"), "held")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _hashes()
-        last: tuple[int, np.ndarray] | None = None
+        x = np.zeros(0, np.uint64)
         for full in batches:
             for at in range(0, full.num_rows, 256):
                 part = full.slice(at, 256)
-                good = []
-                for a, ta, tb in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()):
-                    if last is None or last[0] != a:
-                        last = a, hashes.shingles(ta, c.shingle)
-                    x, y = last[1], hashes.shingles(tb, c.shingle)
+                found: list[tuple[int, int]] = []
+                for lead, rep, held in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    y = np.frombuffer(held, np.uint64)
+                    if rep is None:
+                        x = y
+                        continue
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(100 * both >= c.similarity * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(good)), part.column(1).filter(pa.array(good))], ["a", "b"])
+                    if 100 * both >= c.similarity * (len(x) + len(y) - both):
+                        found.append((lead, rep))
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    two = texts.select(F.col("t_id").alias("b"), F.col("text").alias("tb"))
-    one = texts.select(F.col("t_id").alias("a"), F.col("text").alias("ta"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "ta", "tb").mapInArrow(checked, "a bigint, b bigint")
+    stream = members.unionByName(heads).repartition(F.col("lead"), F.col("chunk")).sortWithinPartitions("lead", "chunk", F.asc_nulls_first("rep"))
+    return stream.select("lead", "rep", "held").mapInArrow(checked, "a bigint, b bigint")
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,11 +388,12 @@ def components(edges: DataFrame, one_task: int = 400_000) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-def mixed_buckets(keys: DataFrame, buckets: DataFrame, parts: DataFrame) -> DataFrame:
-    """key, rep, comp, size of buckets that span several components; in a bucket of two its leader has seen the other."""
-    members = keys.join(buckets.where("size > 2").select("key"), "key").join(parts, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y").select("key", "size")
-    return checkpoint(members.join(mixed, "key"))
+def mixed_buckets(keys: DataFrame, buckets: DataFrame, parts: DataFrame, limit: int) -> DataFrame:
+    """key, rep, comp of buckets that span several components; in a bucket of two its leader has seen the other."""
+    hot = buckets.where(F.col("size") > limit).select("key")
+    members = with_hot(keys, buckets.where("size > 2").select("key"), "key", hot).join(parts, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    mixed = checkpoint(members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y").select("key", "size"))
+    return checkpoint(with_hot(members, mixed.select("key"), "key", mixed.where(F.col("size") > limit).select("key")))
 
 
 def linked(sets: list[np.ndarray], comp: np.ndarray, similarity: int) -> list[tuple[int, int]]:
@@ -361,13 +440,14 @@ def linked(sets: list[np.ndarray], comp: np.ndarray, similarity: int) -> list[tu
 def blocked(rows: DataFrame, c: Config) -> DataFrame:
     """key, rep, comp: buckets dealt out so that any two members of different components meet under some key.
 
-    One of the two lies outside the bucket's largest component. Members outside
-    it fill blocks of about half of `large_bucket` and so do those inside; each
-    outer block meets each inner and each other outer one, under a key of about
-    `large_bucket` members. A member's copies grow with the number of blocks it meets.
+    `rows` has key, rep, comp and n, the shingles. One of the two lies outside
+    the bucket's largest component. Members outside it fill blocks of about half
+    of `group` shingles and so do those inside; each outer block meets each inner
+    and each other outer one, under a key of about `group` shingles. A member's
+    copies grow with the number of blocks it meets.
     """
-    held = F.greatest(F.lit(1), F.lit(c.large_bucket // 2))
-    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    held = F.greatest(F.lit(1), F.lit(c.group // 2))
+    sizes = rows.groupBy("key", "comp").agg(F.sum("n").alias("n"))
     most = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("all"))
     cut = most.select("key", F.col("most.comp").alias("main"), F.ceil((F.col("all") - F.col("most.n")) / held).alias("outer_"), F.ceil(F.col("most.n") / held).alias("inner_"))
     at = rows.join(cut, "key").withColumn("inside", F.col("comp") == F.col("main"))
@@ -382,31 +462,21 @@ def blocked(rows: DataFrame, c: Config) -> DataFrame:
     return cross.unionByName(among)
 
 
-def exact(rows: DataFrame, docs: DataFrame, c: Config, id_col: str, text_col: str) -> DataFrame:
+def exact(rows: DataFrame, classes: DataFrame, docs: DataFrame, c: Config, id_col: str, text_col: str) -> DataFrame:
     """Verified links (a, b) between different components inside buckets, from full sets."""
-    need = rows.select(F.col("rep").alias("t_id")).distinct()
-    if need.count() <= c.broadcast_rows:
-        need = F.broadcast(need)
-    texts = docs.select(F.col(id_col).cast("long").alias("t_id"), F.col(text_col).cast("string").alias("text")).join(need, "t_id", "left_semi").groupBy("t_id").agg(F.min("text").alias("text"))
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _hashes()
-        for full in batches:
-            for at in range(0, full.num_rows, 512):
-                part = full.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([hashes.shingles(t, c.shingle).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["rep", "held"])
-
-    sets = texts.mapInArrow(made, "rep bigint, held binary")
+    sets = full_sets(rows.select("rep"), classes, docs, c, id_col, text_col)
+    rows = rows.join(classes.select("rep", "n"), "rep")
 
     # Overlapping buckets form a family, whose members then travel once and not with each bucket.
-    lead = rows.groupBy("key").agg(F.min("rep").alias("lead"))
+    lead = rows.groupBy("key").agg(F.min("rep").alias("lead"), F.sum("n").alias("weight"))
     families = components(rows.join(lead, "key").select(F.col("rep").alias("a"), F.col("lead").alias("b")))
-    families = families.join(families.groupBy("component").agg(F.count("*").alias("members")), "component").select(F.col("node").alias("rep"), F.col("component").alias("family"), "members")
+    families = families.join(classes.select(F.col("rep").alias("node"), "n"), "node")
+    families = families.join(families.groupBy("component").agg(F.sum("n").alias("all_")), "component").select(F.col("node").alias("rep"), F.col("component").alias("family"), "all_")
     named = rows.join(families, "rep")
-    whole = named.where(F.col("members") <= c.family).select(F.xxhash64(F.lit("family"), "family").alias("key"), "rep", "comp").distinct()
-    named = named.where(F.col("members") > c.family)
-    usual = named.where(F.col("size") <= c.large_bucket).select("key", "rep", "comp")
-    large = named.where(F.col("size") > c.large_bucket).select("key", "rep", "comp")
+    whole = named.where(F.col("all_") <= c.group).select(F.xxhash64(F.lit("family"), "family").alias("key"), "rep", "comp").distinct()
+    named = named.where(F.col("all_") > c.group).join(lead.select("key", "weight"), "key")
+    usual = named.where(F.col("weight") <= c.group).select("key", "rep", "comp")
+    large = named.where(F.col("weight") > c.group).select("key", "rep", "comp", "n")
     both = whole.unionByName(usual).unionByName(blocked(large, c))
 
     def compared(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -419,36 +489,49 @@ def exact(rows: DataFrame, docs: DataFrame, c: Config, id_col: str, text_col: st
     return both.join(sets, "rep").groupBy("key").applyInPandas(compared, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, config: Config | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of `docs`.
+def near_duplicates(docs: DataFrame, config: Config | None = None, *, id_col: str = "doc_id", text_col: str = "text", with_print: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of `docs`; with_print adds 128 bits of its set.
 
-    Null or empty texts have no shingles and stay alone. Rows with a null id
-    have no component (null) and aren't kept; rows with equal ids and equal sets
-    share a component. Very long texts are read whole.
+    Every row is a document. Null or empty texts have no shingles, are linked
+    with nothing and stay alone; ties don't arise, since a component's smallest
+    id names it. Rows with a null id have no component (null) and aren't kept.
+    Rows that share an id but not a text may lie in different components, and
+    each is linked on its own text; rows with equal ids and equal sets share one.
+    An empty table gives no rows. Only the two named columns are read, so others
+    may have any name. Very long texts are read whole.
     """
     c = config or Config()
     spark = docs.sparkSession
     path = f"{checkpoint_dir(spark)}/sketches_{uuid.uuid4().hex}"
-    sketches(docs, c, id_col, text_col).write.parquet(path)
-    drawn = spark.read.parquet(path)
-    classes = checkpoint(drawn.where(F.col("print").isNotNull()).groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    keys = banded(classes, c)
+    sketches(docs, c, id_col, text_col).write.parquet(f"{path}/rows")
+    drawn = spark.read.parquet(f"{path}/rows")
+    equal = drawn.where(F.col("print").isNotNull()).groupBy("print").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("rows"))
+    classes = checkpoint(equal.withColumn("rep", F.monotonically_increasing_id()))
+    banded(classes, c).write.parquet(f"{path}/keys")
+    keys = spark.read.parquet(f"{path}/keys")
+    limit = frequent(keys.count())
     buckets = checkpoint(keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep"))["rep"].alias("leader"), F.count("*").alias("size")).where("size > 1"))
-    pairs = keys.join(buckets, "key").where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+    # A leader has the smallest hash of its bucket, so a pair comes in one direction only.
+    pairs = with_hot(keys, buckets.select("key", "leader"), "key", buckets.where(F.col("size") > limit).select("key"))
+    pairs = checkpoint(pairs.where("rep <> leader").select(F.col("leader").alias("lead"), "rep").distinct())
     tried = checkpoint(similar(pairs, classes, c))
-    edges = checkpoint(verified(tried, docs, c, id_col, text_col))
+    need = tried.select(F.explode(F.array("lead", "rep")).alias("rep"))
+    edges = checkpoint(verified(tried, full_sets(need, classes, docs, c, id_col, text_col), c))
     parts = components(edges)
-    rows = mixed_buckets(keys, buckets, parts)
+    rows = mixed_buckets(keys, buckets, parts, limit)
     if not rows.isEmpty():
-        found = checkpoint(exact(rows, docs, c, id_col, text_col))
+        found = checkpoint(exact(rows, classes, docs, c, id_col, text_col))
         if not found.isEmpty():
             parts = components(edges.unionByName(found))
-    named = classes.select("print", "rep").join(parts, F.col("rep") == F.col("node"), "left").select(F.col("print").alias("p"), F.coalesce("component", "rep").alias("component"))
-    # Rows without a set get a key of their own, so they never meet in one task.
-    own = F.coalesce(F.col("print"), F.concat(F.lit("none "), F.coalesce(F.col("doc_id").cast("string"), F.uuid())).cast("binary"))
-    found = drawn.select("doc_id", "n", own.alias("own"), F.col("print").isNull().alias("alone")).join(named, F.col("own") == F.col("p"), "left")
-    component = F.when(F.col("alone"), F.col("doc_id")).otherwise(F.col("component"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    # A component takes the smallest id of its classes, and a class's rows take the component's.
+    parts = parts.join(classes.select(F.col("rep").alias("node"), "low"), "node")
+    names = checkpoint(parts.groupBy("component").agg(F.min("low").alias("name"), F.count("*").alias("members")))
+    parts = with_hot(parts.select("node", "component"), names.select("component", "name"), "component", names.where(F.col("members") > frequent(classes.count())).select("component"))
+    named = checkpoint(classes.select("print", "rep", "low", "rows").join(parts, F.col("rep") == F.col("node"), "left").select("print", "rows", F.coalesce("name", "low").alias("component_id")))
+    linked_ = with_hot(drawn.where(F.col("print").isNotNull()).select("doc_id", "n", "print"), named.select("print", "component_id"), "print", named.where(F.col("rows") > frequent(drawn.count())).select("print"))
+    alone = drawn.where(F.col("print").isNull()).select("doc_id", "n", "print", F.col("doc_id").alias("component_id"))
+    out = linked_.select("doc_id", "n", "print", "component_id").unionByName(alone)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), *["print"] * with_print)
 
 
 def op10_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

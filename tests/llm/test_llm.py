@@ -495,7 +495,7 @@ def families():
     return texts
 
 
-@pytest.mark.parametrize("config", [dedup.Config(), dedup.Config(split=60), dedup.Config(family=5, large_bucket=20)])
+@pytest.mark.parametrize("config", [dedup.Config(), dedup.Config(split=60), dedup.Config(group=4000, chunk=3)])
 def test_near_duplicates(spark, config):
     texts = families()
     got = {r.doc_id: r for r in dedup.near_duplicates(documents(spark, texts, "more"), config).collect()}
@@ -511,6 +511,26 @@ def test_near_duplicates_odd_rows(spark, odd):
     assert out.where("doc_id is null and (component_id is not null or kept)").count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    a, b = words(80, 1, 5000), words(80, 2, 5000)
+    rows = [(5, a), (5, b), (11, b + " more"), (3, a), (20, "x y z"), (20, None), (20, ""), (20, "x y z"), (None, b), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("i_", F.lit(1)).withColumn("gone_id", F.lit(1)).withColumn("print", F.lit("p"))
+    got = sorted(tuple(r) for r in dedup.near_duplicates(docs.where("doc_id is not null")).collect())
+    n = lambda t: len({*zip(t.split(), t.split()[1:])})
+    assert got == sorted([(5, n(a), 3, False), (5, n(b), 5, True), (11, n(b) + 1, 5, False), (3, n(a), 3, True), (20, 2, 20, True), (20, 2, 20, True), (20, 0, 20, True), (20, 0, 20, True), (4, 0, 4, True)])
+    stage = stages.one_of_each_group(spark, docs, "")
+    assert stage.columns == docs.columns
+    out = sorted(((r.doc_id, r.text) for r in stage.collect()), key=str)
+    assert out == sorted([(5, b), (3, a), (20, "x y z"), (20, None), (20, ""), (None, b), (4, "")], key=str)
+
+
+def test_frequent_keys_join_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "frequent", lambda n: 1)
+    texts = families()
+    got = {r.doc_id: r for r in dedup.near_duplicates(documents(spark, texts)).collect()}
+    assert all((got[i].n_shingles, got[i].component_id) == x for i, x in enumerate(grouped_by_hand(texts)))
+
+
 def test_components(spark):
     rng = random.Random(12)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)]
