@@ -417,23 +417,46 @@ def test_forward_against_all_paths():
             assert value == pytest.approx(np.log(a.sum()))
     start, move, emit, before = lm.expected(m, seqs)
     assert start.sum() == pytest.approx(5) and emit.sum() == pytest.approx(sum(map(len, seqs))) and move.sum() == pytest.approx(sum(map(len, seqs)) - 5)
+    for cells in (1, 3):  # windows of one and more words, all sequences or some
+        parts = [lm.expected_long(m, s, cells) for s in seqs]
+        for whole, part in zip((start, move, emit, before), zip(*parts)):
+            assert np.allclose(whole, sum(part))
+        assert all(np.allclose(a, b) for a, b in zip(lm.expected(m, seqs, cells), (start, move, emit, before)))
+    for block in (1, 2, 5):
+        for ids, lengths, x in lm.groups(seqs):
+            assert np.allclose(lm.forward(m, lengths, x, block=block), lm.forward(m, lengths, x))
     m.emit, m.move, m.start = emit / emit.sum(0), move / move.sum(1, keepdims=True), start / start.sum()
     assert lm.expected(m, seqs)[3] >= before - 1e-9
     assert m.base().sum() == pytest.approx(1)
 
 
 def test_language_model(spark, odd):
-    config = lm.Config(frequent=30, sample_docs=10, sample_rounds=3, corpus_rounds=1)
+    odd = odd.unionByName(odd.limit(2).withColumn("text", F.concat(F.lit("w1 "), F.repeat(F.lit("y"), 100), F.lit(" w1 w2 "), F.repeat(F.lit("Y"), 100))))
+    config = lm.Config(frequent=30, listed=60, sample_docs=10, sample_rounds=3, corpus_rounds=1)
     usable = lambda i: F.coalesce(i, F.lit(0)) % 5 != 1
     model, counts = lm.fit(odd, usable=usable, config=config)
-    got = {r.doc_id: r for r in lm.score_documents(odd, model, counts).collect()}
-    tokens = {r.doc_id: [*(r.text or "").encode().lower().split(), b""] for r in odd.collect()}
-    c = Counter(t for i, ts in tokens.items() if i % 5 != 1 for t in ts)
+    assert model.words and model.size == 30
+    got = sorted((tuple(r) for r in lm.score_documents(odd, model, counts).collect()), key=lambda r: (r[0], r[1], r[4]))
+    tokens = [(r.doc_id, [*(r.text or "").encode().lower().split(), b""]) for r in odd.collect()]
+    c = Counter(t for i, ts in tokens if i % 5 != 1 for t in ts)
     n, v = sum(c.values()), len(c)
-    for i, ts in tokens.items():
-        r = got[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ts), sum(t in c for t in ts), n)
-        assert r.base_score == pytest.approx(sum(np.log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t in ts)) and r.score < 0
+    log = lambda t: np.log10((c[t] + 0.5) / (n + 0.5 * (v + 1)))
+    table = {w: k for k, w in enumerate(model.words[:30])}
+    shape = lambda t: lm.Shapes(64)[lm.key_of(t)[-3:]]
+    mass = np.full(64, 0.5)
+    for t in c:
+        if t and lm.key_of(t) not in table:
+            mass[shape(t)] += c[t] + 0.5
+    want = []
+    for i, ts in tokens:
+        total, a = 0.0, model.start
+        for k, t in enumerate(ts):
+            place = 30 if t == b"" else table.get(lm.key_of(t), 31 + shape(t))
+            a = (a @ model.move if k else a) * model.emit[place] * (1.0 if place <= 30 else (c[t] + 0.5) / mass[place - 31])
+            total, a = total + np.log10(a.sum()), a / a.sum()
+        want.append((i, len(ts), sum(t in c for t in ts), n, sum(map(log, ts)), total))
+    want.sort(key=lambda r: (r[0], r[1], r[4]))
+    assert all(a == pytest.approx(b) for a, b in zip(got, want, strict=True))
     model, counts = lm.fit(odd.limit(0), usable=usable, config=config)
     assert lm.score_documents(odd, model, counts).count() == odd.count()
 
