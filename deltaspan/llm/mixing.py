@@ -10,17 +10,20 @@ a document's middle, stays within the rest.
 
 A source may hold a third of all rows, so no source is sorted in one task: keys
 are cut into buckets of some hundred rows, running sums go over buckets first
-and inside each bucket then. What comes out is one cut (key, id, size) per
-source, so texts are never shuffled or sorted.
+and inside each bucket then, where rows that agree in key, id and size are one
+entry with their number. What comes out is one cut per source: the last entry
+taken and how many of its rows, so texts are never shuffled or sorted.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from deltaspan.llm.common import WORD, checkpoint
+from deltaspan.llm.common import WORD, checkpoint, checkpoint_dir
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -46,17 +49,17 @@ def exponential_key(doc_id: Column, weight: Column, seed: str = SEED) -> Column:
 
 
 def rows_of(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column | None = None) -> DataFrame:
-    doc_id, text = F.col(id_col), F.col(text_col)
+    doc_id, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     return docs.select(
         doc_id.cast("long").alias("doc_id"),
-        F.col(source_col).cast("string").alias("source"),
+        F.col(f"`{source_col}`").cast("string").alias("source"),
         size_of(text).alias("size"),
         (quality_weight(text) if weight is None else F.greatest(weight, F.lit(1e-6))).alias("weight"),
     ).withColumn("key", exponential_key(F.col("doc_id"), F.col("weight")))
 
 
 def place() -> Column:
-    """The order inside a source; rows that agree in all of it are taken or left together."""
+    """The order inside a source."""
     return F.struct(F.col("key"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id"), F.col("size"))
 
 
@@ -81,25 +84,35 @@ def targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: i
 
 
 def cuts(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """The plan with `cut`: the last place that the fractional selection of a source takes, null if none."""
+    """The plan with `cut` (place, taken, rows): the last place that the fractional selection of a source reaches and
+    how many of its equal rows it takes; null if it takes none."""
     numbered = plan.withColumn("buckets", F.ceil(F.col("n_rows") / F.lit(BUCKET_ROWS)))
-    p = numbered.select(F.col("source").alias("p_source"), "mean_weight", "buckets", "rest")
+    p = numbered.where("rest > 0").select(F.col("source").alias("p_source"), "mean_weight", "buckets", "rest")
     r = rows.join(small(p), F.col("source").eqNullSafe(F.col("p_source")), "inner")
-    r = r.withColumn("bucket", F.floor(F.col("key") * F.col("mean_weight") * F.col("buckets"))).select("source", "bucket", "rest", "size", place().alias("place"))
-    # Rows of a bucket stand together for the inner sum; the buckets' sums join without another shuffle of rows.
-    sums = r.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    r = r.withColumn("bucket", F.floor(F.col("key") * F.col("mean_weight") * F.col("buckets")))
+    r = r.groupBy("source", "bucket", "rest", place().alias("place")).agg(F.count("*").alias("rows")).withColumn("size", F.col("place.size")).withColumn("all_", F.col("size") * F.col("rows"))
+    sums = r.groupBy("source", "bucket").agg(F.sum("all_").alias("bucket_size"))
     start = F.sum("bucket_size").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("bucket_size")
     sums = sums.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), start.alias("start"))
-    inner = F.sum("size").over(W.partitionBy("source", "bucket").orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
-    r = r.withColumn("before", inner).join(sums, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
-    within = (F.col("start") + F.col("before")).cast("double") + F.col("size") / F.lit(2.0) <= F.col("rest")
-    last = r.where(within).groupBy(F.col("source").alias("c_source")).agg(F.max("place").alias("cut"))
+    inner = F.sum("all_").over(W.partitionBy("source", "bucket").orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("all_")
+    r = r.withColumn("inner", inner).join(sums, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
+    r = r.withColumn("before", (F.col("start") + F.col("inner")).cast("double"))
+    # The j-th of equal rows is taken if its middle, before + (j - 1/2) size, stays within the rest.
+    first = F.col("before") + F.col("size") / F.lit(2.0) <= F.col("rest")
+    fits = F.floor(F.try_divide(F.col("rest") - F.col("before"), F.col("size").cast("double")) + F.lit(0.5))
+    taken = F.when(~first, F.lit(0)).when((F.col("rows") == 1) | (F.col("size") == 0), F.col("rows")).otherwise(F.greatest(F.lit(1), F.least(F.col("rows"), fits)))
+    last = r.withColumn("taken", taken.cast("long")).where("taken > 0").groupBy(F.col("source").alias("c_source")).agg(F.max(F.struct("place", "taken", "rows")).alias("cut"))
     return plan.join(last, F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source")
 
 
 def copies() -> Column:
     """Complete epochs, and one more up to the cut."""
-    return F.col("epochs") + F.coalesce(place() <= F.col("cut"), F.lit(False)).cast("long")
+    return F.col("epochs") + F.coalesce(place() <= F.col("cut.place"), F.lit(False)).cast("long")
+
+
+def split() -> Column:
+    """Rows at the cut of which some are taken and some aren't."""
+    return F.coalesce((place() == F.col("cut.place")) & (F.col("cut.taken") < F.col("cut.rows")), F.lit(False))
 
 
 #: Sources up to which a table of one row each is broadcast; beyond it joins shuffle.
@@ -120,23 +133,45 @@ def mixed_sizes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Null or empty texts have size 0 and take 0; null sources form a source of
     their own, the last in order; an empty table gives no rows; repeated rows
-    stay. Texts are read once: what is kept of them is checkpointed.
+    stay, and where the cut falls among equal rows as many of them are taken as
+    fit. Ties of keys go by id and size. Only the three named columns are read,
+    so others may have any name. Texts are read once: what is kept of them is
+    checkpointed.
     """
     rows = checkpoint(rows_of(docs, id_col, text_col, source_col))
     mix = small(checkpoint(plan_mix(rows)))
-    return rows.join(mix, F.col("source").eqNullSafe(F.col("m_source"))).select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"))
+    joined = rows.join(mix, F.col("source").eqNullSafe(F.col("m_source")))
+    whole = joined.where(~split()).select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"))
+    # Equal rows differ in nothing that is returned, so they are counted and dealt out again.
+    some = joined.where(split()).groupBy("doc_id", "source", "size", "source_size", "target", "epochs", F.col("cut.taken").alias("more")).agg(F.count("*").alias("rows"))
+    each = some.withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return whole.unionByName(each.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + (F.col("j") <= F.col("more")).cast("long"))).alias("taken")))
 
 
 def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of `docs` as often as the mix takes them, with the columns of `docs`."""
-    rows = checkpoint(rows_of(docs, id_col, text_col, source_col))
-    mix = small(checkpoint(plan_mix(rows)))
-    names = docs.columns
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row_"))
-    keyed = held.select("row_", F.col(f"row_.`{id_col}`").cast("long").alias("doc_id"), F.col(f"row_.`{source_col}`").cast("string").alias("source"), size_of(F.col(f"row_.`{text_col}`")).alias("size"), quality_weight(F.col(f"row_.`{text_col}`")).alias("weight"))
-    keyed = keyed.withColumn("key", exponential_key(F.col("doc_id"), F.col("weight")))
-    taken = keyed.join(mix, F.col("source").eqNullSafe(F.col("m_source"))).select("row_", copies().alias("n")).where("n > 0")
-    return taken.select("row_", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row_.*")
+    """The rows of `docs` as often as the mix takes them, with the columns of `docs`; edge cases as in `mixed_sizes`.
+
+    Rows are written once with their sizes and keys, whose columns alone are
+    read for the plan.
+    """
+    spark = docs.sparkSession
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), F.monotonically_increasing_id().alias("at"), F.col(f"`{id_col}`").alias("i_"), F.col(f"`{text_col}`").alias("t_"), F.col(f"`{source_col}`").alias("s_"))
+    weight = quality_weight(F.col("t_"))
+    held = held.select("row_", "at", F.col("i_").cast("long").alias("doc_id"), F.col("s_").cast("string").alias("source"), size_of(F.col("t_")).alias("size"), weight.alias("weight"))
+    path = f"{checkpoint_dir(spark)}/mix_{uuid.uuid4().hex}"
+    held.withColumn("key", exponential_key(F.col("doc_id"), F.col("weight"))).write.parquet(path)
+    rows = spark.read.parquet(path)
+    mix = small(checkpoint(plan_mix(rows.drop("row_", "at"))))
+    joined = rows.join(mix, F.col("source").eqNullSafe(F.col("m_source")))
+    taken = joined.where(~split()).select("row_", copies().alias("n"))
+    # Equal rows at a cut are numbered inside the parts they were written in, and the parts by running sums.
+    some = joined.where(split()).withColumn("part", F.shiftright("at", 33))
+    parts = some.groupBy(F.col("source").alias("q_source"), F.col("part").alias("q_part")).agg(F.count("*").alias("rows"))
+    parts = parts.withColumn("start", F.sum("rows").over(W.partitionBy("q_source").orderBy("q_part").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("rows")).drop("rows")
+    some = some.withColumn("inner", F.row_number().over(W.partitionBy("source", "part").orderBy("at"))).join(parts, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("part") == F.col("q_part")))
+    more = (F.col("start") + F.col("inner") <= F.col("cut.taken")).cast("long")
+    taken = taken.unionByName(some.select("row_", (F.col("epochs") + more).alias("n"))).where("n > 0")
+    return taken.select("row_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("row_.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

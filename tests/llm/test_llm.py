@@ -168,6 +168,29 @@ def test_mixing(spark, odd):
     assert (empty["size"], empty.target, empty.taken) == (0, 0.0, 0)
 
 
+def test_equal_rows_at_the_cut(spark):
+    rows = [(7, "a b c", "s1")] * 1000 + [(1, "x " * 50, "s2"), (2, "y " * 40, "s2"), (None, "z", None), (9, "", "s2"), (10, None, "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size, target = mixed_by_hand(rows)
+    taken = Counter()
+    for r in mixing.mixed_sizes(docs).collect():
+        taken[next(s for s in size if size[s] == r.source_size)] += r.taken
+    assert all(abs(taken[s] - target[s]) <= 50 for s in size) and abs(taken["s1"] - target["s1"]) <= 3
+    out = mixing.mix_documents(docs)
+    found = Counter()
+    for r in out.collect():
+        found[r.source] += len((r.text or "").split())
+    assert found == +taken
+    again = mixing.mix_documents(docs.repartition(5)).groupBy("source").agg(F.sum(mixing.size_of(F.col("text"))).alias("n")).collect()
+    assert {r.source: r.n for r in again} == dict(found)
+
+
+def test_a_rest_of_nothing_takes_nothing(spark):
+    # One source: its target is its own size, so the rest is 0 and texts without words get no further epoch.
+    docs = spark.createDataFrame([(1, "", "s"), (2, "a b", "s"), (3, None, "s")], "doc_id long, text string, source string")
+    assert sorted(r.doc_id for r in mixing.mix_documents(docs).collect()) == [1, 2, 3]
+
+
 # --- classifiers
 
 
