@@ -14,8 +14,17 @@ PAIR = ["TestCaseId", "AssertionId"]
 
 def pair_counts(obs: DataFrame) -> DataFrame:
     """Passes and trials of each pair in both periods, 0 where a period lacks it; one aggregation."""
+    return pair_counts_by(obs, *PAIR)
+
+
+def pair_counts_by(obs: DataFrame, *keys: str) -> DataFrame:
     passed = lambda p: F.coalesce(F.sum(F.when(p, F.col("IsTrue"))), F.lit(0)).cast("long")
-    return obs.dropna(subset=PAIR).groupBy(*PAIR).agg(passed(previous()).alias("y_prev"), F.count_if(previous()).alias("n_prev"), passed(following()).alias("y_next"), F.count_if(following()).alias("n_next"))
+    return obs.dropna(subset=list(keys)).groupBy(*keys).agg(passed(previous()).alias("y_prev"), F.count_if(previous()).alias("n_prev"), passed(following()).alias("y_next"), F.count_if(following()).alias("n_next"))
+
+
+def run_counts(obs: DataFrame) -> DataFrame:
+    """The same by pair and judge run."""
+    return pair_counts_by(obs, *PAIR, "RunId")
 
 
 def pair_ids(counts: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from deltaspan.functions.numeric import clip, div, t_two_sided
+from deltaspan.functions.numeric import clip, div, exact_quantiles, t_two_sided
 from deltaspan.operators.coverage import case_intersection
 
 
@@ -33,13 +33,16 @@ def winsorized(cases: DataFrame, low: float = 0.025, high: float = 0.975) -> Dat
 
     Quantiles are exact; the small table of them joins by metric.
     """
-    bounds = cases.groupBy("LLMScore").agg(F.percentile("Diff", F.array(F.lit(low), F.lit(high))).alias("b_"))
-    return cases.join(bounds, "LLMScore").withColumn("Diff_winsor", clip(F.col("Diff"), F.col("b_")[0], F.col("b_")[1])).drop("b_")
+    return _cut(cases, exact_quantiles(cases, ["LLMScore"], "Diff", [low, high], "b_")).drop("b_")
+
+
+def _cut(cases: DataFrame, bounds: DataFrame) -> DataFrame:
+    return cases.join(bounds, "LLMScore", "left").withColumn("Diff_winsor", clip(F.col("Diff"), F.col("b_")[0], F.col("b_")[1]))
 
 
 def sensitivity(cases: DataFrame, obs: DataFrame) -> DataFrame:
     """Per metric: the mean difference over all cases, cases of both periods, winsorized cases, and the median."""
     both = case_intersection(obs).select("TestCaseId", F.lit(True).alias("both_"))
-    rows = winsorized(cases).join(both, "TestCaseId", "left")
+    rows = _cut(cases, exact_quantiles(cases, ["LLMScore"], "Diff", [0.025, 0.975, 0.5], "b_")).join(both, "TestCaseId", "left")
     d, shared = F.col("Diff"), F.when(F.col("both_"), F.col("Diff"))
-    return rows.groupBy("LLMScore").agg(F.avg(d).alias("mean_diff"), F.count(d).alias("n_cases"), F.avg(shared).alias("mean_diff_intersection"), F.when(F.count("both_") > 0, F.count(shared)).alias("n_cases_intersection"), F.avg("Diff_winsor").alias("mean_diff_winsor"), F.median(d).alias("median_diff"))
+    return rows.groupBy("LLMScore").agg(F.avg(d).alias("mean_diff"), F.count(d).alias("n_cases"), F.avg(shared).alias("mean_diff_intersection"), F.when(F.count("both_") > 0, F.count(shared)).alias("n_cases_intersection"), F.avg("Diff_winsor").alias("mean_diff_winsor"), F.max(F.col("b_")[2]).alias("median_diff"))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from deltaspan.functions.numeric import corr, div, draw_index
-from deltaspan.operators.cuped import KEYS, small
+from deltaspan.operators.cuped import KEYS
 
 
 def pairs(obs: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def paired_theta(p: DataFrame) -> DataFrame:
 
 def paired_adjusted(p: DataFrame) -> DataFrame:
     """The pairs with D_star = D - theta (Z - mean Z), whose mean is that of D."""
-    return p.join(small(paired_theta(p)), "LLMScore").withColumn("D_star", F.col("D") - F.col("theta") * (F.col("Z") - F.col("mean_Z")))
+    return p.join(paired_theta(p), "LLMScore").withColumn("D_star", F.col("D") - F.col("theta") * (F.col("Z") - F.col("mean_Z")))
 
 
 def paired_cuped(p: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def crossfit_delta(p: DataFrame, folds: int = 5) -> DataFrame:
 def cluster_se(obs: DataFrame) -> DataFrame:
     """Per metric: the difference of row means and its cluster-robust standard error, cases as clusters."""
     means = obs.dropna(subset=KEYS).groupBy("LLMScore", "Period").agg(F.avg("Value").alias("mean_"), F.count("Value").alias("n_"))
-    rows = obs.dropna(subset=KEYS).join(small(means), ["LLMScore", "Period"])
+    rows = obs.dropna(subset=KEYS).join(means, ["LLMScore", "Period"])
     sign = F.when(F.col("Period") == "Next", 1.0).otherwise(-1.0)
     scores = rows.groupBy(*KEYS).agg(F.sum(sign * (F.col("Value") - F.col("mean_")) / F.col("n_")).alias("u"))
     se = scores.groupBy("LLMScore").agg(F.count("*").alias("clusters"), F.sum(F.col("u") * F.col("u")).alias("uu"))
@@ -77,5 +77,5 @@ def improved_worse(p: DataFrame) -> DataFrame:
 
 def standardized(obs: DataFrame) -> DataFrame:
     """The rows with Value scaled to 0..1 over their metric; null for a constant one."""
-    span = small(obs.groupBy("LLMScore").agg(F.min("Value").alias("low_"), F.max("Value").alias("high_")))
+    span = obs.groupBy("LLMScore").agg(F.min("Value").alias("low_"), F.max("Value").alias("high_"))
     return obs.join(span, "LLMScore").withColumn("Value_01", div(F.col("Value") - F.col("low_"), F.col("high_") - F.col("low_"))).drop("low_", "high_")

@@ -7,8 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaspan.operators.bayes import rate_difference, top_pairs
-from deltaspan.operators.cuped import small
+from deltaspan.operators.bayes import top_pairs
 
 GRID, CUT = 200, 3.0
 
@@ -23,7 +22,7 @@ def kde(rows: DataFrame, value: str, groups: list[str], points: int = GRID, cut:
     v = rows.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("v_"))
     span = v.groupBy(*groups).agg((F.stddev_samp("v_") * F.pow(F.count("*").cast("double"), F.lit(-0.2))).alias("h_"), F.min("v_").alias("low_"), F.max("v_").alias("high_"), F.count("*").alias("n_")).where("h_ > 0")
     low, high = F.col("low_") - cut * F.col("h_"), F.col("high_") + cut * F.col("h_")
-    joined = v.join(small(span), groups) if groups else v.join(F.broadcast(span))
+    joined = v.join(span, groups) if groups else v.join(F.broadcast(span))
     at = joined.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", low + (high - low) * F.col("i") / (points - 1))
     kernel = F.exp(-F.pow((F.col("x") - F.col("v_")) / F.col("h_"), 2) / 2) / (F.col("h_") * F.col("n_") * math.sqrt(2 * math.pi))
     return at.groupBy(*groups, "i").agg(F.first("x").alias("x"), F.sum(kernel).alias("density"))
@@ -52,7 +51,3 @@ def violin_density(melted: DataFrame) -> DataFrame:
 
 def forest(summary: DataFrame, k: int = 30) -> DataFrame:
     return top_pairs(summary, k)
-
-
-def violin_note(rates: DataFrame) -> DataFrame:
-    return rate_difference(rates)

@@ -1,53 +1,63 @@
 """Bootstrap of mean differences (BOOT-01 to BOOT-04, AGG-17, AGG-18).
 
-Draws are hashes of (seed, group, replicate, slot), so results don't depend on
-partitions or retries. Each draw is a row that joins the numbered cases, which are
-broadcast up to HELD rows, and sums are partial before the shuffle; beyond that no
-task holds a metric's cases. Draws are dealt to all tasks in runs of STEP replicates.
+Draws come from (seed, group, replicate, slot), so results don't depend on
+partitions or retries. A group's cases are numbered by hash range, then by name.
+Groups of up to HELD cases are arrays: each replicate is one row that sums what
+it draws, and only arrays travel, to runs of STEP replicates. Larger groups are
+numbered range by range, so no task holds one; their draws are counted per
+(replicate, case) ahead of the join with the cases.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from deltaspan.functions.numeric import draw_index, fast_index
+from deltaspan.functions.numeric import draw_index, draw_place, draw_state
 
 SEED, N_BOOT = 42, 10_000
-#: Numbered cases up to which they are broadcast, and replicates that one row brings forth at once.
-HELD, STEP = 500_000, 100
+#: Cases of a group up to which they form an array, and replicates that one row brings forth at once.
+HELD, STEP, RANGES = 200_000, 50, 256
+
 
+def _runs(groups: DataFrame, n_boot: int) -> DataFrame:
+    """`groups` with rep, a row for each replicate, dealt to all tasks."""
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = groups.withColumn("from_", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1), F.lit(STEP)))).repartition(max(parts, 16), F.col("group_"), F.col("from_"))
+    return runs.withColumn("rep", F.explode(F.sequence("from_", F.least(F.col("from_") + STEP - 1, F.lit(n_boot - 1))))).drop("from_")
 
-def drawn(held: DataFrame, group: list[str], n_boot: int, index: Callable, *key: int | str) -> DataFrame:
-    """group, rep, boot_mean from the numbered cases `held` (group, slot, n, Diff)."""
-    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = held.select(*group, "n", "slot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1), F.lit(STEP))).alias("from_")).repartition(parts, *group, "slot", "from_")
-    draws = runs.select(*group, "n", "slot", F.explode(F.sequence("from_", F.least(F.col("from_") + STEP - 1, F.lit(n_boot - 1)))).alias("rep"))
-    draws = draws.select(*group, "rep", index(F.col("n"), *key, *[F.col(g) for g in group], F.col("rep"), F.col("slot")).alias("slot"))
-    values = held.select(*group, "slot", "Diff")
-    if values.limit(HELD + 1).count() <= HELD:
-        return draws.join(F.broadcast(values), [*group, "slot"]).groupBy(*group, "rep").agg(F.avg("Diff").alias("boot_mean"))
-    # Counting draws per (replicate, case) first leaves fewer rows to join.
-    counted = draws.groupBy(*group, "rep", "slot").agg(F.count("*").alias("times"))
-    return counted.join(values, [*group, "slot"]).groupBy(*group, "rep").agg((F.sum(F.col("times") * F.col("Diff")) / F.sum("times")).alias("boot_mean"))
 
+def _replicates(cases: DataFrame, group, n_boot: int, seed: int) -> DataFrame:
+    """group_, rep, boot_mean: the mean of as many draws with replacement as the group has cases."""
+    rows = cases.where("Diff is not null").select(group.alias("group_"), "LLMScore", "TestCaseId", "Diff", draw_index(F.lit(RANGES), "range", F.col("LLMScore"), F.col("TestCaseId")).alias("range_"))
+    sizes = rows.groupBy("group_").agg(F.count("*").alias("n"))
+    return _from_arrays(rows.join(sizes.where(F.col("n") <= HELD), "group_"), n_boot, seed).unionByName(_from_rows(rows.join(sizes.where(F.col("n") > HELD), "group_"), n_boot, seed))
 
-def numbered(cases: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """Cases with a difference, numbered from 0 inside their group, and the group's size n."""
-    w = W.partitionBy(*group)
-    return cases.where("Diff is not null").select(*group, (F.row_number().over(w.orderBy(*order)) - 1).cast("long").alias("slot"), F.count("*").over(w).alias("n"), "Diff")
 
+def _from_arrays(rows: DataFrame, n_boot: int, seed: int) -> DataFrame:
+    held = rows.groupBy("group_", "n").agg(F.array_sort(F.collect_list(F.struct("range_", "LLMScore", "TestCaseId", "Diff")))["Diff"].alias("values"))
+    one, two = draw_state(seed, F.col("group_"), F.col("rep"))
+    reps = _runs(held, n_boot).withColumn("one", one).withColumn("two", two)
+    drawn = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), F.lit(0.0), lambda a, slot: a + F.get("values", draw_place(F.col("n"), (F.col("one"), F.col("two")), slot).cast("int")))
+    return reps.select("group_", "rep", (drawn / F.col("n")).alias("boot_mean"))
 
-def replicates(cases: DataFrame, group: list[str], order: list[str], n_boot: int = N_BOOT, seed: int = SEED, index: Callable = fast_index) -> DataFrame:
-    """group, rep, boot_mean: the mean of as many draws with replacement as the group has cases."""
-    return drawn(numbered(cases, group, order), group, n_boot, index, seed)
 
+def _from_rows(rows: DataFrame, n_boot: int, seed: int) -> DataFrame:
+    sizes = rows.groupBy("group_", "range_").agg(F.count("*").alias("size_"))
+    starts = sizes.select("group_", "range_", (F.sum("size_").over(W.partitionBy("group_").orderBy("range_")) - F.col("size_")).alias("start_"))
+    inside = F.row_number().over(W.partitionBy("group_", "range_").orderBy("LLMScore", "TestCaseId")) - 1
+    held = rows.withColumn("i_", inside).join(starts, ["group_", "range_"]).select("group_", (F.col("start_") + F.col("i_")).alias("slot"), "n", "Diff")
+    one, two = draw_state(seed, F.col("group_"), F.col("rep"))
+    draws = held.select("group_", "n", "slot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
+    draws = draws.select("group_", "rep", draw_place(F.col("n"), (one, two), F.col("slot")).alias("slot"))
+    counted = draws.groupBy("group_", "rep", "slot").agg(F.count("*").alias("times"))
+    return counted.join(held.select("group_", "slot", "Diff"), ["group_", "slot"]).groupBy("group_", "rep").agg((F.sum(F.col("times") * F.col("Diff")) / F.sum("times")).alias("boot_mean"))
 
-def metric_replicates(cases: DataFrame, n_boot: int = N_BOOT, seed: int = SEED, index: Callable = fast_index) -> DataFrame:
-    return replicates(cases, ["LLMScore"], ["TestCaseId"], n_boot, seed, index)
+
+def metric_replicates(cases: DataFrame, n_boot: int = N_BOOT, seed: int = SEED) -> DataFrame:
+    """LLMScore, rep, boot_mean."""
+    return _replicates(cases, F.col("LLMScore"), n_boot, seed).withColumnRenamed("group_", "LLMScore")
 
 
 def metric_bootstrap(cases: DataFrame, reps: DataFrame) -> DataFrame:
@@ -58,18 +68,9 @@ def metric_bootstrap(cases: DataFrame, reps: DataFrame) -> DataFrame:
     return means.join(spread, "LLMScore").select("LLMScore", "mean_diff", "SE", "CI_lo_95", "CI_hi_95", "N_cases")
 
 
-def pooled_replicates(cases: DataFrame, n_boot: int = N_BOOT, seed: int = SEED, index: Callable = fast_index) -> DataFrame:
-    """Replicates over all (case, metric) pairs as one group.
-
-    Pairs are numbered by counting inside hash ranges, which many tasks do, and
-    adding the ranges' starts.
-    """
-    rows = cases.where("Diff is not null").select("TestCaseId", "LLMScore", "Diff", draw_index(F.lit(256), "range", F.col("LLMScore"), F.col("TestCaseId")).alias("range_"))
-    sizes = rows.groupBy("range_").agg(F.count("*").alias("size_"))
-    sizes = sizes.select("range_", (F.sum("size_").over(W.orderBy("range_")) - F.col("size_")).alias("start_"), F.sum("size_").over(W.partitionBy()).alias("n"))
-    inside = F.row_number().over(W.partitionBy("range_").orderBy("LLMScore", "TestCaseId")) - 1
-    held = rows.withColumn("i_", inside).join(F.broadcast(sizes), "range_").select((F.col("start_") + F.col("i_")).alias("slot"), "n", "Diff")
-    return drawn(held, [], n_boot, index, seed, "pooled")
+def pooled_replicates(cases: DataFrame, n_boot: int = N_BOOT, seed: int = SEED) -> DataFrame:
+    """rep, boot_mean over all (case, metric) pairs as one group."""
+    return _replicates(cases, F.lit("pooled"), n_boot, seed).drop("group_")
 
 
 def describe(reps: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ class Config:
     draws: int = 1000
     warmup: int = 500
     top_k: int = 30
+    #: Tables that `export_scores` writes.
     names: tuple[str, ...] = field(default=sinks.EXPORTS)
 
 
@@ -53,6 +54,11 @@ def run_scores(previous: DataFrame, following: DataFrame, c: Config = Config())
     }
 
 
+def export_scores(tables: dict[str, DataFrame], folder: str, c: Config = Config()) -> dict[str, str]:
+    """The tables of `run_scores` that the settings name, as CSV."""
+    return sinks.export(tables, folder, c.names)
+
+
 def run_assertions(spark: SparkSession, previous: DataFrame, following: DataFrame, c: Config = Config()) -> dict[str, DataFrame]:
     """All tables of the comparison of assertions; draws are kept for reuse."""
     obs = load.tagged(previous, following)

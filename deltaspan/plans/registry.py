@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaspan.functions.numeric import draw_index, rounded
+from deltaspan.functions.numeric import rounded
 from deltaspan.operators import assertions as a
 from deltaspan.operators import bayes, coverage, cuped, inference, paired, plotdata, resample, simulate
 from deltaspan.sources import adapters, load
@@ -64,13 +64,24 @@ HASH = "('0x' || substr(md5({}), 1, 8))::bigint"
 UNIFORM = "((" + HASH + " + 0.5) / 4294967296.0)"
 
 
+SLOTS = HASH.format("'range|' || LLMScore || '|' || TestCaseId") + " % 256, LLMScore, TestCaseId"
+
+
+def _draws_sql(group: str) -> str:
+    """d_ from n_ (grp, slot, n): the place that each replicate draws for each slot."""
+    at = [f"('0x' || substr(md5('42|' || {group} || '|' || rep), {k}, 7))::bigint" for k in (1, 8)]
+    return f"""state_ as (select grp, rep, {at[0]} as s1, {at[1]} as s2 from (select distinct grp from n_), range({N_BOOT}) r(rep)),
+round_ as (select grp, rep, n, s2, (s1 + slot * 1000003) % 2147483647 as x1 from n_ join state_ using (grp)),
+second_ as (select grp, rep, n, x1, (x1 * x1 + s2) % 2147483647 as x2 from round_),
+d_ as (select grp, rep, ((x2 * x2 + x1) % 2147483647 * 2147483647 + x2) % n as pick from second_)"""
+
+
 def _boot_sql(table: str) -> str:
-    h = HASH.format("'42|' || LLMScore || '|' || rep || '|' || slot")
     return f"""{base_sql(table)},
-n_ as (select LLMScore, row_number() over (partition by LLMScore order by TestCaseId) - 1 as slot, count(*) over (partition by LLMScore) as n, Diff from cases where Diff is not null),
-d_ as (select LLMScore, rep, {h} % n as pick from n_, range({N_BOOT}) r(rep)),
-reps as (select d_.LLMScore, rep, avg(Diff) as boot_mean from d_ join n_ on d_.LLMScore = n_.LLMScore and pick = slot group by all),
-boot as (select LLMScore, mean_diff, SE, CI_lo_95, CI_hi_95, N_cases from (select LLMScore, avg(Diff) as mean_diff, count(*) as N_cases from n_ group by all)
+n_ as (select LLMScore as grp, row_number() over (partition by LLMScore order by {SLOTS}) - 1 as slot, count(*) over (partition by LLMScore) as n, Diff from cases where Diff is not null),
+{_draws_sql("grp")},
+reps as (select d_.grp as LLMScore, rep, avg(Diff) as boot_mean from d_ join n_ on d_.grp = n_.grp and pick = slot group by all),
+boot as (select LLMScore, mean_diff, SE, CI_lo_95, CI_hi_95, N_cases from (select grp as LLMScore, avg(Diff) as mean_diff, count(*) as N_cases from n_ group by all)
   join (select LLMScore, stddev_samp(boot_mean) as SE, quantile_cont(boot_mean, 0.025) as CI_lo_95, quantile_cont(boot_mean, 0.975) as CI_hi_95 from reps group by all) using (LLMScore))"""
 
 
@@ -79,16 +90,16 @@ def _cases(spark: SparkSession, d: str, table=adapters.events) -> DataFrame:
 
 
 def _reps(spark: SparkSession, d: str) -> DataFrame:
-    return resample.metric_replicates(_cases(spark, d), N_BOOT, index=draw_index)
+    return resample.metric_replicates(_cases(spark, d), N_BOOT)
 
 
 def _boot(spark: SparkSession, d: str) -> DataFrame:
     cases = _cases(spark, d)
-    return resample.metric_bootstrap(cases, resample.metric_replicates(cases, N_BOOT, index=draw_index))
+    return resample.metric_bootstrap(cases, resample.metric_replicates(cases, N_BOOT))
 
 
 def _pooled(spark: SparkSession, d: str) -> DataFrame:
-    return resample.pooled_replicates(_cases(spark, d), N_POOLED, index=draw_index)
+    return resample.pooled_replicates(_cases(spark, d), N_POOLED)
 
 
 def _model(spark: SparkSession, d: str, **more) -> DataFrame:
@@ -159,8 +170,9 @@ add("bootstrap_metric", _boot, sql(_boot_sql("events"), "from boot", "mean_diff
 add("bootstrap_bars", lambda s, d: plotdata.bars(_boot(s, d)), sql(_boot_sql("events"), "select LLMScore, mean_diff, mean_diff - CI_lo_95 as err_lo, CI_hi_95 - mean_diff as err_hi from boot", "mean_diff err_lo err_hi", "LLMScore"))
 add("bootstrap_marks", lambda s, d: plotdata.marks(_boot(s, d)), sql(_boot_sql("events"), "select *, 0.0 as zero from boot", "zero mean_diff CI_lo_95 CI_hi_95", "LLMScore"))
 POOLED_SQL = f"""{base_sql("events")},
-n_ as (select row_number() over (order by {HASH.format("'range|' || LLMScore || '|' || TestCaseId")} % 256, LLMScore, TestCaseId) - 1 as slot, count(*) over () as n, Diff from cases where Diff is not null),
-reps as (select rep, avg(p.Diff) as boot_mean from (select rep, {HASH.format("'42|pooled|' || rep || '|' || slot")} % n as pick from n_, range({N_POOLED}) r(rep)) d join n_ p on pick = slot group by all)"""
+n_ as (select 'pooled' as grp, row_number() over (order by {SLOTS}) - 1 as slot, count(*) over () as n, Diff from cases where Diff is not null),
+{_draws_sql("grp")},
+reps as (select rep, avg(Diff) as boot_mean from d_ join n_ on pick = slot group by all)"""
 add("bootstrap_pooled_replicates", _pooled, sql(POOLED_SQL, "from reps", "boot_mean", "", "rep"))
 add("bootstrap_pooled", lambda s, d: resample.describe(_pooled(s, d)), sql(POOLED_SQL, "select count(*) as count, avg(boot_mean) as mean, stddev_samp(boot_mean) as std, min(boot_mean) as min, quantile_cont(boot_mean, 0.025) as p2_5, quantile_cont(boot_mean, 0.5) as p50, quantile_cont(boot_mean, 0.975) as p97_5, max(boot_mean) as max from reps", "mean std min p2_5 p50 p97_5 max", "", "count"))
 CROSS_SQL = f"""{obs_sql("events")}, {PAIRED_SQL}, f_ as (select *, {HASH.format("'fold|' || TestCaseId")} % 5 as fold from p_),
@@ -191,6 +203,18 @@ add("simulate_truth", lambda s, d: simulate.truth(s).drop("pair"), sql(SIM_SQL,
 add("simulate_means", lambda s, d: simulate.population(simulate.truth(s)), sql(SIM_SQL, "select avg(p_prev) as mean_p_prev, avg(p_next) as mean_p_next, avg(true_delta) as mean_delta from truth", "mean_p_prev mean_p_next mean_delta"))
 for _p, _c, _o in (("Previous", "p_prev", 0), ("Next", "p_next", 5)):
     add(f"simulate_{_p.lower()}", lambda s, d, p=_p: simulate.runs(simulate.truth(s), p), sql(SIM_SQL, f"select (pair * 10 + {_o} + run + 1)::varchar as RunId, TestCaseId, AssertionId, ({UNIFORM.format(f"'123|' || pair || '|{_p}|' || run")} < {_c})::int as IsTrue, '{_p}' as Period from truth, range(5) r(run)", "", "RunId TestCaseId AssertionId Period", "IsTrue"))
+add("kde_overall", lambda s, d: plotdata.kde(_model(s, d), "overall_delta", []))
+add("violin_density", lambda s, d: plotdata.violin_density(bayes.melted(bayes.mean_rates(_model(s, d)))))
+POINTS = tuple((0.1 * p - 0.2, 0.1 * p - 0.3, 0.2 * p - 0.3, 0.5 * p - 0.5) for p in range(5))
+add("model_density", lambda s, d: bayes.density_at(a.pair_counts(adapters.lineitem(s, d)), POINTS), sql(f"""{PAIRS_SQL}, k_ as (select *, row_number() over (order by TestCaseId, AssertionId) as pair_id from counts),
+e_ as (select k_.*, point, 0.1 * point - 0.2 as mu, 0.1 * point - 0.3 as ls, 0.2 * point - 0.3 as tau, 0.5 * point - 0.5 as theta, {UNIFORM.format("'z|' || point || '|' || pair_id")} - 0.5 as z from k_, range(5) r(point)),
+q_ as (select *, mu + exp(ls) * z as eta, 1 / (1 + exp(-mu - exp(ls) * z)) as q from e_),
+l_ as (select *, eta + tau + theta * (q - avg(q) over (partition by point)) as logit from q_)""", """select point, (sum(y_prev * eta - n_prev * ln(1 + exp(eta)) + y_next * logit - n_next * ln(1 + exp(logit)) - z * z / 2)
+  - any_value(mu * mu / 8 + exp(2 * ls) / 2 - ls + tau * tau / 4.5 + theta * theta / 18)) / count(*) as log_density, (sum(y_next - n_next / (1 + exp(-logit))) - any_value(tau / 2.25)) / count(*) as slope_tau from l_ group by point""", "log_density slope_tau", "", "point"))
+add("model_grid", lambda s, d: bayes.against_grid(s), sql("""s_ as (select (i + 0.5) * 0.05 as s from range(80) t(i)),
+p_ as (select eta, sum(exp(-s * s / 2 - eta * eta / (2 * (4 + s * s))) / sqrt(4 + s * s)) as prior from (select -6 + i * 0.075 as eta from range(161) t(i)) e, s_ group by eta),
+g_ as (select eta, tau, prior * exp(-tau * tau / 4.5 + 3 * eta - 10 * ln(1 + exp(eta)) + 7 * (eta + tau) - 10 * ln(1 + exp(eta + tau))) as w from p_, (select -6 + i * 0.075 as tau from range(161) t(i)) t),
+m_ as (select sum(w * tau) / sum(w) as tau, sum(w * (1 / (1 + exp(-eta - tau)) - 1 / (1 + exp(-eta)))) / sum(w) as delta from g_)""", "select 'tau' as parameter, tau as grid_mean, true as agrees from m_ union all select 'overall_delta', delta, true from m_", "grid_mean", "parameter agrees"))
 add("model_summary", lambda s, d: bayes.scalar_summary(_model(s, d)))
 add("model_diagnostics", lambda s, d: bayes.diagnostics(_model(s, d)))
 add("model_case_effects", lambda s, d: bayes.scalar_summary(_model(s, d, case_effects=True)))

@@ -81,6 +81,17 @@ def test_winsor_keeps_nulls(spark):
     assert rows["m", "x"] is None and rows["n", "x"] is None and rows["m", "0"] == 2.5 and rows["m", "100"] == 97.5
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 1000, 30_000])
+def test_exact_quantiles(spark, n):
+    rng = np.random.default_rng(n)
+    x = np.round(rng.normal(0, 3, n), 3 if n % 2 else 0)
+    shares = [0.0, 0.001, 0.025, 0.25, 0.5, 0.975, 0.9995, 1.0]
+    rows = spark.createDataFrame([("a", float(v)) for v in x] + [("a", None), ("none", None), ("c", 2.0)], "g string, v double").repartition(5)
+    found = {r.g: r.q for r in numeric.exact_quantiles(rows, ["g"], "v", shares, "q").collect()}
+    assert found.keys() == {"a", "c"} and found["c"] == [2.0] * 8
+    assert found["a"] == pytest.approx(np.quantile(x, shares).tolist(), abs=1e-12)
+
+
 def test_bootstrap(spark):
     rng = np.random.default_rng(2)
     rows = [("m", f"c{i:03d}", float(x)) for i, x in enumerate(rng.normal(1, 2, 60))] + [("none", "c", None)]

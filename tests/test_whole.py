@@ -7,7 +7,6 @@ import pytest
 from compare import DATA
 from pyspark.sql import functions as F
 
-from deltaspan.functions.numeric import draw_index
 from deltaspan.operators import assertions, bayes, resample
 from deltaspan.plans import registry
 from deltaspan.sources import adapters
@@ -26,7 +25,7 @@ def test_ways_of_joining_draws_agree(spark, monkeypatch):
     cases = spark.createDataFrame([(m, f"c{i:02d}", float(i * i % 17)) for m in "ab" for i in range(30)], "LLMScore string, TestCaseId string, Diff double")
 
     def found():
-        one = resample.metric_replicates(cases, 250, index=draw_index).collect() + resample.pooled_replicates(cases, 250, index=draw_index).select(F.lit("").alias("LLMScore"), "rep", "boot_mean").collect()
+        one = resample.metric_replicates(cases, 250).collect() + resample.pooled_replicates(cases, 250).select(F.lit("").alias("LLMScore"), "rep", "boot_mean").collect()
         return {(r.LLMScore, r.rep): r.boot_mean for r in one}
 
     held = found()
@@ -98,3 +97,56 @@ def test_gain_of_the_covariate(spark):
     a, b = (np.var([r[0] for r in x.select("overall_delta").collect()], ddof=1) for x in (one, two))
     r = bayes.ess_gain(one, two).first()
     assert (r.var_with, r.var_without, r.ess_gain) == pytest.approx((a, b, b / a))
+
+
+def test_run_effects():
+    rng = np.random.default_rng(4)
+    counts = {"y_prev": rng.integers(0, 3, 60), "n_prev": np.full(60, 3), "y_next": rng.integers(0, 3, 60), "n_next": np.full(60, 3)}
+    runs = (np.repeat(np.arange(12), 5), np.tile(np.arange(5), 12))
+    for cases in (None, np.arange(12) // 3):
+        d = bayes.Density(counts, cases, runs=runs)
+        assert d.size == 4 + 12 + 6 + (0 if cases is None else 5)
+        x = rng.normal(0, 0.5, d.size)
+        _, g = d(x)
+        assert np.allclose(g, [(d(x + v)[0] - d(x - v)[0]) / 2e-5 for v in np.eye(d.size) * 1e-5], atol=1e-4)
+
+
+def test_run_effects_absorb_a_lenient_judge(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [("Previous" if t % 2 else "Next", f"c{c:02d}", "a", f"r{r}", int(rng.random() < (0.9 if r == 0 else 0.4))) for c in range(20) for r in range(4) for t in range(6)]
+    obs = spark.createDataFrame(rows, "Period string, TestCaseId string, AssertionId string, RunId string, IsTrue int")
+    counts = assertions.run_counts(obs)
+    assert counts.count() == 80 and counts.agg(F.sum("n_prev")).first()[0] == 240
+    draws = bayes.sample(spark, counts, draws=200, warmup=300, run_effects=True)
+    assert draws.select(F.size("delta")).distinct().collect() == [(20,)]
+    r = bayes.scalar_summary(draws).first()
+    assert r.ci_lo < 0 < r.ci_hi
+    monkeypatch.setattr(bayes, "MAX_ROWS", 10)
+    with pytest.raises(ValueError):
+        bayes.sample(spark, counts)
+
+
+def test_diagnostics_against_known_chains():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(4, 2000))
+    assert bayes.split_r_hat(x) == pytest.approx(1, abs=0.01) and bayes.effective_size(x) == pytest.approx(8000, rel=0.15)
+    for a, name in ((0.8, "slow"), (-0.5, "alternating")):
+        y = x.copy()
+        for t in range(1, 2000):
+            y[:, t] = a * y[:, t - 1] + x[:, t]
+        assert bayes.effective_size(y) == pytest.approx(8000 * (1 - a) / (1 + a), rel=0.25), name
+    drift = x + np.linspace(0, 3, 2000)
+    assert bayes.split_r_hat(drift) > 1.2 and bayes.split_r_hat(x + np.arange(4)[:, None]) > 1.2
+    assert bayes.split_r_hat(np.ones((2, 10))) is None and bayes.effective_size(np.ones((2, 3))) is None
+
+
+def test_exports(spark, tmp_path):
+    from deltaspan.sources import sinks
+
+    one = spark.createDataFrame([("m", 1.0)], "LLMScore string, theta double")
+    arrays = spark.createDataFrame([(1, [0.5, 1.0])], "draw int, delta array<double>")
+    paths = sinks.export({"theta_table": one, "draws": arrays}, str(tmp_path))
+    assert spark.read.option("header", True).csv(paths["draws"]).first().delta == "[0.5,1.0]"
+    assert list(sinks.export({"theta_table": one, "draws": arrays}, str(tmp_path), ("theta_table",))) == ["theta_table"]
+    with pytest.raises(KeyError):
+        sinks.export({"theta_table": one}, str(tmp_path), ("draws",))
