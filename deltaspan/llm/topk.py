@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from deltaspan.llm.common import checkpoint, ship
-from deltaspan.llm.vectors import NONE, blocks, classes, commonest_length, distinct_queries, finite, merged, other_ids, paired, query_rows, results, unpack, valid
+from deltaspan.llm.vectors import CELL, NONE, blocks, classes, commonest_length, distinct_queries, finite, merged, other_ids, paired, query_rows, results, unpack, valid
 
 K, LISTS, BLOCK, QUERY_BLOCK = 20, 2, 4096, 8192
 #: Longest vectors of a block that the first phase looks at, at least.
@@ -215,11 +215,24 @@ def top_k(table: DataFrame, k: int = K, *, id_col: str = "vec_id", vec_col: str
     head = max(HEAD, 4 * (k + 1))
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[bytes, np.ndarray] = {}  # of the query blocks that a task meets again with its next candidates
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for qkeys, found in best.items():
+                keys = np.frombuffer(qkeys, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), k + 1).cast(pa.list_(pa.float64()))], ["qcls", "own", "best"])
+            best.clear()
+
         for batch in batches:
             for qkeys, qdata, keys, data in zip(*(batch.column(n).to_pylist() for n in range(4))):
-                ((qcls, own), q), ((_, low, next_), x) = unpack(qkeys, qdata, 2, kind), unpack(keys, data, 3, kind)
+                ((_, own), q), ((_, low, next_), x) = unpack(qkeys, qdata, 2, kind), unpack(keys, data, 3, kind)
                 found = first_phase(q, x[:head], lists, k + 1, own, low[:head], next_[:head], scaled)
-                yield pa.RecordBatch.from_arrays([pa.array(qcls), pa.array(own), pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), k + 1).cast(pa.list_(pa.float64()))], ["qcls", "own", "best"])
+                if qkeys in best:
+                    found = -np.sort(-np.concatenate([best[qkeys], found], axis=1), axis=1)[:, : k + 1]
+                elif len(best) >= 2 * CELL:
+                    yield from out()
+                best[qkeys] = np.ascontiguousarray(found)
+        yield from out()
 
     listed = paired(queries, candidates).select("qkeys", "qdata", "keys", "data").mapInArrow(heads, "qcls bigint, own bigint, best array<double>")
     ranked = listed.select("qcls", "own", F.explode("best").alias("bound")).withColumn("rank_", F.row_number().over(W.partitionBy("qcls", "own").orderBy(F.desc("bound")))).where(F.col("rank_") <= k + 1)
