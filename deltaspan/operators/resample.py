@@ -2,8 +2,8 @@
 
 Draws come from (seed, group, replicate, slot), so results don't depend on
 partitions or retries. A group's cases are numbered by hash range, then by name.
-Groups of up to HELD cases are arrays: each replicate is one row that sums what
-it draws, and only arrays travel, to runs of STEP replicates. Larger groups are
+Groups of up to HELD cases are arrays: arrays alone travel, to runs of STEP replicates,
+whose draws are summed where they arise. Larger groups are
 numbered range by range, so no task holds one; their draws are counted per
 (replicate, case) ahead of the join with the cases.
 """
@@ -39,8 +39,10 @@ def _from_arrays(rows: DataFrame, n_boot: int, seed: int) -> DataFrame:
     held = rows.groupBy("group_", "n").agg(F.array_sort(F.collect_list(F.struct("range_", "LLMScore", "TestCaseId", "Diff")))["Diff"].alias("values"))
     one, two = draw_state(seed, F.col("group_"), F.col("rep"))
     reps = _runs(held, n_boot).withColumn("one", one).withColumn("two", two)
-    drawn = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), F.lit(0.0), lambda a, slot: a + F.get("values", draw_place(F.col("n"), (F.col("one"), F.col("two")), slot).cast("int")))
-    return reps.select("group_", "rep", (drawn / F.col("n")).alias("boot_mean"))
+    # Slots as rows, so that the draws are compiled code; they are summed where they arise, before any shuffle.
+    draws = reps.select("group_", "rep", "n", "values", "one", "two", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot"))
+    value = F.get("values", draw_place(F.col("n"), (F.col("one"), F.col("two")), F.col("slot")).cast("int"))
+    return draws.select("group_", "rep", value.alias("Diff")).groupBy("group_", "rep").agg(F.avg("Diff").alias("boot_mean"))
 
 
 def _from_rows(rows: DataFrame, n_boot: int, seed: int) -> DataFrame:
