@@ -133,25 +133,44 @@ class Segment:
         return found[start - first * self.block_size : end - first * self.block_size]
 
 
+def _byte_names() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it is visible, else the next one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+BYTE_NAMES = _byte_names()
+#: All letters below are old enough for Python and the library to agree on what a letter is.
+SETTLED = "\u0500"
+#: Packing of so many ids.
+PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
+
+
 class _Ids(dict):
     """Little-endian u32 ids of a piece of text, from the library once for each distinct piece.
 
     A piece is a word that a space precedes (kept without the space), or a line
-    feed and the word behind it. New pieces go to the library as one text and
-    come apart where an id begins with a space or a line feed, which are only
-    found at the start of a piece. Should they come apart elsewhere, texts are
-    encoded whole from then on. Texts that hold an added token are encoded whole
-    as well. The cache starts anew at `limit` pieces or `limit_chars` characters,
-    so its memory is bounded whatever the vocabulary.
+    feed and the word behind it. Where the first step is the byte-level pattern,
+    letters with at most one mark behind them go to the library's model one by
+    one, since the pattern cuts them nowhere but before the mark. Other new
+    pieces go to the library as one text and come apart where an id begins with a
+    space or a line feed, which are only found at the start of a piece. Should
+    they come apart elsewhere, texts are encoded whole from then on. Texts that
+    hold an added token are encoded whole as well. The cache starts anew at
+    `limit` pieces or `limit_chars` characters, so its memory is bounded whatever
+    the vocabulary.
     """
 
     def __init__(self, model: str, limit: int = 1_200_000, limit_chars: int = 18_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(model)
+        model, step = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        self.tokenize = model.tokenize
         #: Tokens that the library looks for before anything else.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.limit, self.limit_chars, self.chars = limit, limit_chars, 0
@@ -162,6 +181,9 @@ class _Ids(dict):
         line = self.whole("\n")
         #: False for tokenizers that don't cut before spaces and around line feeds; texts are then encoded whole.
         self.cuts = probe[0] == line + probe[1] and probe[2] == b"".join(probe[3:]) and len(line) == 4 and not any(c.isspace() for t in self.added for c in t)
+        #: Whether letters may go to the model without the first step.
+        self.letters = self.cuts and isinstance(model, models.BPE) and isinstance(step, pre_tokenizers.ByteLevel) and step.use_regex and self.tokenizer.normalizer is None
+        self.line, self.marks = line, {x: self.whole(x) for x in ".,;:!?"}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -179,6 +201,33 @@ class _Ids(dict):
         self.chars += len(joined)
         return True
 
+    def __missing__(self, piece: str) -> bytes | None:
+        """Ids of a new piece of letters with at most one mark behind them; None for other pieces, which `learn` adds."""
+        if not self.letters:
+            return None
+        feed = piece[0] == "\n"
+        word, mark = piece[1:] if feed else piece, b""
+        if not word.isalpha():
+            mark, word = self.marks.get(word[-1:]), word[:-1]
+            if mark is None or not word.isalpha():
+                return None
+            known = self.get("\n" + word if feed else word)
+            if known is not None:
+                found = self[piece] = known + mark
+                self.chars += len(piece) + 1
+                return found
+        if not word.isascii():
+            if max(word) >= SETTLED:
+                return None
+            word = word.encode().decode("latin-1").translate(BYTE_NAMES)
+        ids = [t.id for t in self.tokenize(word if feed else "Ġ" + word)]
+        if not feed and not self.starts[ids[0]]:
+            return None
+        data = PACK[len(ids)](*ids) if len(ids) < len(PACK) else np.array(ids, "<u4").tobytes()
+        found = self[piece] = (self.line if feed else b"") + data + mark
+        self.chars += len(piece) + 1
+        return found
+
     def trim(self) -> None:
         if len(self) > self.limit or self.chars > self.limit_chars:
             self.clear()
@@ -212,7 +261,7 @@ def encode_texts(texts: list[str], ids: _Ids) -> list[bytes]:
     for at in range(0, len(texts), 256):
         ids.trim()
         cut = [split_pieces(t) if ids.cuts and not any(x in t for x in ids.added) else None for t in texts[at : at + 256]]
-        found = [list(map(ids.get, p)) if p else [] for p in cut]
+        found = [list(map(ids.__getitem__, p)) if p else [] for p in cut]
         gaps = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
         new = {p[i] for p, g in zip(cut, gaps) for i in g}
         if new and not ids.learn(list(new)):

@@ -72,6 +72,15 @@ def test_pieces_of_texts_encode_as_whole_texts():
     assert token_output.encode_texts(texts, ids) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
 
 
+def test_words_of_letters_encode_as_the_library_does():
+    model, t = library()
+    rng = random.Random(4)
+    words = ["the", "Été", "ñandú", "ЖЖ", "λόγος", "ªº", "ǅ", "ʰa", "a\u0301", "Ա", "的", "I'm", "don't", "x1", "½", "a,", "é.", "well;", "so!?", "z" * 300, ".", ",a", "a:b", "ﬁ", "K", "ſ", "µ"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "\n"]) for _ in range(rng.randint(0, 12))) + rng.choice(words) for _ in range(2000)]
+    for limit in (20, 1_000_000):
+        assert token_output.encode_texts(texts, token_output._Ids(model, limit=limit)) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
 def test_added_tokens_are_the_librarys():
     model, t = library()
     texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b c", "a <|endoftext| > b", "plain words"]
