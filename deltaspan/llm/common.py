@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -123,6 +125,17 @@ _kept: dict = {}
 def worker_cache(key, make: Callable):
     """What a Python worker keeps between tasks: one operator's cache at a time, so that caches don't add up."""
     if key not in _kept:
-        _kept.clear()
+        if _kept:
+            _kept.clear()
+            release()
         _kept[key] = make()
     return _kept[key]
+
+
+def release() -> None:
+    """Give freed memory back to the system, where the C library can: workers outlive the stages of a pipeline."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

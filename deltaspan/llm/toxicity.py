@@ -60,7 +60,7 @@ class Config:
 class Words(dict):
     """Word to its two buckets in one integer; starts anew at `limit` words."""
 
-    def __init__(self, buckets: int, limit: int = 500_000):
+    def __init__(self, buckets: int, limit: int = 200_000):
         import xxhash
 
         self.hash, self.mask, self.limit = xxhash.xxh3_64_intdigest, buckets - 1, limit
