@@ -57,6 +57,8 @@ def draw_index(n: Column, *key: Column | int | str) -> Column:
 
 #: A prime below 2**31, so that products of remainders fit 64 bits.
 PRIME = 2_147_483_647
+#: What neighbouring slots lie apart.
+STRIDE = 1_000_003
 
 
 def draw_state(*key: Column | int | str) -> tuple[Column, Column]:
@@ -68,7 +70,7 @@ def draw_state(*key: Column | int | str) -> tuple[Column, Column]:
 
 def draw_place(n: Column, state: tuple[Column, Column], slot: Column) -> Column:
     """The slot-th draw from 0 to n - 1: two rounds of squaring modulo a prime, in whole numbers that any engine has."""
-    one = (state[0] + slot * F.lit(1_000_003)) % PRIME
+    one = (state[0] + slot * F.lit(STRIDE)) % PRIME
     two = (one * one + state[1]) % PRIME
     return ((two * two + one) % PRIME * PRIME + two) % n
 

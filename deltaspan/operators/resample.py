@@ -3,29 +3,57 @@
 Draws come from (seed, group, replicate, slot), so results don't depend on
 partitions or retries. A group's cases are numbered by hash range, then by name.
 Groups of up to HELD cases are arrays: arrays alone travel, to runs of STEP replicates,
-whose draws are summed where they arise. Larger groups are
+whose draws numpy makes and averages, one replicate at a time. Larger groups are
 numbered range by range, so no task holds one; their draws are counted per
 (replicate, case) ahead of the join with the cases.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from deltaspan.functions.numeric import draw_index, draw_place, draw_state
+from deltaspan.functions.numeric import PRIME, STRIDE, draw_index, draw_place, draw_state
+from deltaspan.functions.shipping import ship
 
 SEED, N_BOOT = 42, 10_000
 #: Cases of a group up to which they form an array, and replicates that one row brings forth at once.
 HELD, STEP, RANGES = 200_000, 50, 256
 
 
-def _runs(groups: DataFrame, n_boot: int) -> DataFrame:
-    """`groups` with rep, a row for each replicate, dealt to all tasks."""
+def _runs(groups: DataFrame, n_boot: int, seed: int) -> DataFrame:
+    """`groups` with states, where STEP replicates' draws start (rep, one, two), dealt to all tasks."""
     parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = groups.withColumn("from_", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1), F.lit(STEP)))).repartition(max(parts, 16), F.col("group_"), F.col("from_"))
-    return runs.withColumn("rep", F.explode(F.sequence("from_", F.least(F.col("from_") + STEP - 1, F.lit(n_boot - 1))))).drop("from_")
+    runs = groups.withColumn("from_", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1), F.lit(STEP))))
+    runs = runs.repartition(max(parts, 16), F.col("group_"), F.col("from_"))
+
+    def state(rep: Column) -> Column:
+        one, two = draw_state(seed, F.col("group_"), rep)
+        return F.struct(rep.alias("rep"), one.alias("one"), two.alias("two"))
+
+    reps = F.sequence("from_", F.least(F.col("from_") + STEP - 1, F.lit(n_boot - 1)))
+    return runs.select("group_", "values", F.transform(reps, state).alias("states"))
+
+
+def _means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """group_, rep, boot_mean of runs; one replicate's draws are held at a time."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            values = batch.column(1)[row].values.to_numpy()
+            states = batch.column(2)[row].values
+            reps, ones, twos = (states.field(i) for i in range(3))
+            slots, means = np.arange(len(values), dtype=np.int64) * STRIDE, []
+            for one, two in zip(ones.to_pylist(), twos.to_pylist()):
+                first = (slots + one) % PRIME
+                second = (first * first + two) % PRIME
+                means.append(values[((second * second + first) % PRIME * PRIME + second) % len(values)].mean())
+            group = pa.array([batch.column(0)[row].as_py()] * len(means), pa.string())
+            yield pa.RecordBatch.from_arrays([group, reps, pa.array(means, pa.float64())], ["group_", "rep", "boot_mean"])
 
 
 def _replicates(cases: DataFrame, group, n_boot: int, seed: int) -> DataFrame:
@@ -37,12 +65,8 @@ def _replicates(cases: DataFrame, group, n_boot: int, seed: int) -> DataFrame:
 
 def _from_arrays(rows: DataFrame, n_boot: int, seed: int) -> DataFrame:
     held = rows.groupBy("group_", "n").agg(F.array_sort(F.collect_list(F.struct("range_", "LLMScore", "TestCaseId", "Diff")))["Diff"].alias("values"))
-    one, two = draw_state(seed, F.col("group_"), F.col("rep"))
-    reps = _runs(held, n_boot).withColumn("one", one).withColumn("two", two)
-    # Slots as rows, so that the draws are compiled code; they are summed where they arise, before any shuffle.
-    draws = reps.select("group_", "rep", "n", "values", "one", "two", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot"))
-    value = F.get("values", draw_place(F.col("n"), (F.col("one"), F.col("two")), F.col("slot")).cast("int"))
-    return draws.select("group_", "rep", value.alias("Diff")).groupBy("group_", "rep").agg(F.avg("Diff").alias("boot_mean"))
+    ship(rows.sparkSession)
+    return _runs(held, n_boot, seed).mapInArrow(_means, "group_ string, rep int, boot_mean double")
 
 
 def _from_rows(rows: DataFrame, n_boot: int, seed: int) -> DataFrame:
