@@ -191,7 +191,11 @@ def _indexed(members: DataFrame, space, layout: Layout) -> DataFrame:
     cut = rows.join(count, "list").withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "cls"), F.col("chunks")).cast("int"))
     each = cut.groupBy("list", "chunk").agg(F.collect_list(F.struct("cls", "low", "next_", "v", "turned")).alias("rows"))
     group, piece = F.floor(F.col("list") / layout.per).cast("int"), F.pmod(F.xxhash64("list", "chunk"), F.lit(layout.pieces)).cast("int")
-    return each.select(group.alias("group"), piece.alias("piece"), (F.col("list") % layout.per).alias("slot"), *[F.col("rows")[c].alias(c) for c in ("cls", "low", "next_")], F.flatten(F.col("rows")["v"]).alias("v"), F.flatten(F.col("rows")["turned"]).alias("turned"))
+    return each.select(
+        group.alias("group"), piece.alias("piece"), (F.col("list") % layout.per).alias("slot"),
+        *[F.col("rows")[c].alias(c) for c in ("cls", "low", "next_")],
+        F.flatten(F.col("rows")["v"]).alias("v"), F.flatten(F.col("rows")["turned"]).alias("turned"),
+    )
 
 
 def _probed(queries: DataFrame, space, layout: Layout, k: int, share: float) -> DataFrame:

@@ -318,7 +318,9 @@ def verified(pairs: DataFrame, sets: DataFrame, c: Config) -> DataFrame:
     hot = hot_leaders(pairs).select("lead")
     dealt = with_hot(pairs, count, "lead", hot).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     members = dealt.join(sets, "rep").select("lead", "chunk", "rep", "held")
-    heads = count.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(sets.withColumnRenamed("rep", "lead"), "lead").select("lead", "chunk", F.lit(None).cast("long").alias("rep"), "held")
+    heads = count.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(sets.withColumnRenamed("rep", "lead"), "lead").select(
+        "lead", "chunk", F.lit(None).cast("long").alias("rep"), "held",
+    )
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = np.zeros(0, np.uint64)
@@ -528,7 +530,11 @@ def near_duplicates(docs: DataFrame, config: Config | None = None, *, id_col: st
     names = checkpoint(parts.groupBy("component").agg(F.min("low").alias("name"), F.count("*").alias("members")))
     parts = with_hot(parts.select("node", "component"), names.select("component", "name"), "component", names.where(F.col("members") > frequent(classes.count())).select("component"))
     named = checkpoint(classes.select("print", "rep", "low", "rows").join(parts, F.col("rep") == F.col("node"), "left").select("print", "rows", F.coalesce("name", "low").alias("component_id")))
-    linked_ = with_hot(drawn.where(F.col("print").isNotNull()).select("doc_id", "n", "print"), named.select("print", "component_id"), "print", named.where(F.col("rows") > frequent(drawn.count())).select("print"))
+    linked_ = with_hot(
+        drawn.where(F.col("print").isNotNull()).select("doc_id", "n", "print"),
+        named.select("print", "component_id"), "print",
+        named.where(F.col("rows") > frequent(drawn.count())).select("print"),
+    )
     alone = drawn.where(F.col("print").isNull()).select("doc_id", "n", "print", F.col("doc_id").alias("component_id"))
     out = linked_.select("doc_id", "n", "print", "component_id").unionByName(alone)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), *["print"] * with_print)

@@ -383,7 +383,9 @@ def encode(docs: DataFrame, model: Model, id_col: str, text_col: str, usable) ->
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), usable(F.col(f"`{id_col}`")).alias("learnt"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
     path = f"{checkpoint_dir(spark)}/classes_{uuid.uuid4().hex}"
-    rows.mapInArrow(read, "uid bigint, doc_id bigint, learnt boolean, n_tokens bigint, n_known bigint, base double, inside double, seq binary, rare array<struct<word: binary, n: int>>").write.parquet(path)
+    rows.mapInArrow(read, "uid bigint, doc_id bigint, learnt boolean, n_tokens bigint, n_known bigint, base double, inside double, seq binary, rare array<struct<word: binary, n: int>>").write.parquet(
+        path,
+    )
     return spark.read.parquet(path)
 
 
@@ -459,7 +461,10 @@ def score(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                     ll[ids] = forward(model, lengths, x) / np.log(10)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(ll)], ["uid", "doc_id", "n_tokens", "n_known", "base", "inside", "ll"])
 
-    own = rows.select("uid", "doc_id", "n_tokens", "n_known", "base", "inside", "seq").mapInArrow(scored, "uid bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, inside double, ll double")
+    own = rows.select("uid", "doc_id", "n_tokens", "n_known", "base", "inside", "seq").mapInArrow(
+        scored,
+        "uid bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, inside double, ll double",
+    )
     rare = rows.select(F.col("uid").alias("r_uid"), F.inline("rare")).join(counts, "word", "left")
     logs = F.col("n") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(0.5))
     rare = rare.groupBy("r_uid").agg(F.sum(logs).alias("rare"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"))

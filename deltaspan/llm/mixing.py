@@ -80,7 +80,10 @@ def targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: i
     level = F.first(F.when(~F.col("full"), F.col("level")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     target = F.when(F.col("full"), F.col("most").cast("double")).otherwise(level * F.col("share"))
     epochs = F.least(F.lit(max_epochs), F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size").cast("double"))), F.lit(0))).cast("long")
-    return sources.withColumn("target", target).withColumn("epochs", epochs).select("source", "source_size", "n_rows", "mean_weight", "target", "epochs", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest"))
+    return sources.withColumn("target", target).withColumn("epochs", epochs).select(
+        "source", "source_size", "n_rows", "mean_weight", "target", "epochs",
+        (F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest"),
+    )
 
 
 def cuts(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -155,7 +158,11 @@ def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     read for the plan.
     """
     spark = docs.sparkSession
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), F.monotonically_increasing_id().alias("at"), F.col(f"`{id_col}`").alias("i_"), F.col(f"`{text_col}`").alias("t_"), F.col(f"`{source_col}`").alias("s_"))
+    held = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"),
+        F.monotonically_increasing_id().alias("at"), F.col(f"`{id_col}`").alias("i_"), F.col(f"`{text_col}`").alias("t_"),
+        F.col(f"`{source_col}`").alias("s_"),
+    )
     weight = quality_weight(F.col("t_"))
     held = held.select("row_", "at", F.col("i_").cast("long").alias("doc_id"), F.col("s_").cast("string").alias("source"), size_of(F.col("t_")).alias("size"), weight.alias("weight"))
     path = f"{checkpoint_dir(spark)}/mix_{uuid.uuid4().hex}"

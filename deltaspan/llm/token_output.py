@@ -308,7 +308,10 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer_json: str, path: s
             nonlocal held, keys, size, number
             lengths = np.array([len(x) // 4 for x in held], "<u4")
             image = encode_segment(np.frombuffer(b"".join(held), "<u4"), lengths, block_size, percentile)
-            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([keys], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([image], pa.binary())], ["part", "number", "ids", "n_ids", "image"])
+            row = pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([keys], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([image], pa.binary())],
+                ["part", "number", "ids", "n_ids", "image"],
+            )
             held, keys, size, number = [], [], 0, number + 1
             return row
 
@@ -357,7 +360,10 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     parts = parts.select("part", (F.sum("all_").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("all_")).alias("first_"))
     inside = F.sum("n_ids").over(W.partitionBy("part").orderBy("number").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n_ids")
     offsets = sizes.withColumn("inside_", inside).join(parts, "part").select("part", "number", (F.col("first_") + F.col("inside_")).alias("base"))
-    return read.join(offsets, ["part", "number"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", F.col("part").alias("segment_part"), F.col("number").alias("segment_number"))
+    return read.join(offsets, ["part", "number"]).select(
+        "doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", F.col("part").alias("segment_part"),
+        F.col("number").alias("segment_number"),
+    )
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -235,7 +235,10 @@ def top_k(table: DataFrame, k: int = K, *, id_col: str = "vec_id", vec_col: str
         yield from out()
 
     listed = paired(queries, candidates).select("qkeys", "qdata", "keys", "data").mapInArrow(heads, "qcls bigint, own bigint, best array<double>")
-    ranked = listed.select("qcls", "own", F.explode("best").alias("bound")).withColumn("rank_", F.row_number().over(W.partitionBy("qcls", "own").orderBy(F.desc("bound")))).where(F.col("rank_") <= k + 1)
+    ranked = listed.select("qcls", "own", F.explode("best").alias("bound")).withColumn(
+        "rank_",
+        F.row_number().over(W.partitionBy("qcls", "own").orderBy(F.desc("bound"))),
+    ).where(F.col("rank_") <= k + 1)
     cutoffs = ranked.groupBy("qcls", "own").agg(F.min("bound").alias("cutoff"))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +259,10 @@ def top_k(table: DataFrame, k: int = K, *, id_col: str = "vec_id", vec_col: str
                     whole, beyond = (score.astype(np.int64), [None] * len(i)) if scaled.exponent is None else resolved(q, x, i, j)
                     yield pa.RecordBatch.from_arrays([pa.array(qcls[i]), pa.array(own[i]), pa.array(cls[j]), pa.array(other_ids(own[i], low[j], next_[j])), pa.array(whole, pa.int64()), pa.array(beyond, pa.binary())], ["qcls", "own", "cls", "low", "score", "beyond"])
 
-    hits = paired(queries.join(packed, "part"), candidates).select("qkeys", "qdata", "keys", "data", "cutoffs").mapInArrow(exact, "qcls bigint, own bigint, cls bigint, low bigint, score bigint, beyond binary")
+    hits = paired(queries.join(packed, "part"), candidates).select("qkeys", "qdata", "keys", "data", "cutoffs").mapInArrow(
+        exact,
+        "qcls bigint, own bigint, cls bigint, low bigint, score bigint, beyond binary",
+    )
     return results(merged(hits, members, k), asked.select("vec_id", "qcls", "own"), k, "bigint")
 
 

@@ -84,7 +84,10 @@ def blocks(rows: DataFrame, ids: list[str], vec: str, size: int, dtype: str = "<
         held, number, part = 0, 0, TaskContext.get().partitionId()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([(part << 20) + number], pa.int64()), pa.array([np.concatenate(keys).tobytes()], pa.binary()), pa.array([np.concatenate(data).astype(dtype).tobytes()], pa.binary())], ["part", "keys", "data"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([(part << 20) + number], pa.int64()), pa.array([np.concatenate(keys).tobytes()], pa.binary()), pa.array([np.concatenate(data).astype(dtype).tobytes()], pa.binary())],
+                ["part", "keys", "data"],
+            )
 
         for full in batches:
             at = 0
