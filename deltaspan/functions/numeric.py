@@ -121,12 +121,26 @@ def exact_quantiles(rows: DataFrame, group: list[str], value: str, shares: list[
     v = rows.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("v_"))
     # The sketch's ranks are off by less than n / 4000, so these two enclose the ranks of a share.
     edges = [F.array(*[F.lit(min(1.0, max(0.0, q + d))) for q in shares]) for d in (-1e-3, 1e-3)]
-    sketch = v.groupBy(*group).agg(F.count("*").alias("n_"), F.min("v_").alias("least_"), F.max("v_").alias("most_"), *[F.percentile_approx("v_", e, 4000).alias(f"e{i}_") for i, e in enumerate(edges)])
-    each = sketch.select(*group, "n_", F.posexplode(F.arrays_zip(F.col("e0_").alias("low"), F.col("e1_").alias("high"), F.array(*[F.lit(q) for q in shares]).alias("q"))).alias("place_", "b_"), "least_", "most_")
+    sketch = v.groupBy(*group).agg(
+        F.count("*").alias("n_"), F.min("v_").alias("least_"), F.max("v_").alias("most_"),
+        *[F.percentile_approx("v_", e, 4000).alias(f"e{i}_") for i, e in enumerate(edges)],
+    )
+    each = sketch.select(
+        *group, "n_",
+        F.posexplode(F.arrays_zip(F.col("e0_").alias("low"), F.col("e1_").alias("high"), F.array(*[F.lit(q) for q in shares]).alias("q"))).alias(
+            "place_", "b_",
+        ),
+        "least_", "most_",
+    )
     rank = (F.col("n_") - 1) * F.col("b_.q")
     # Ranks at the very ends lie beside the sketch's first and last values; small groups are held whole.
     few = F.col("n_") <= 10_000
-    each = each.select(*group, "n_", "place_", F.when(few | (F.col("b_.q") <= 2e-3), F.col("least_")).otherwise(F.col("b_.low")).alias("low_"), F.when(few | (F.col("b_.q") >= 1 - 2e-3), F.col("most_")).otherwise(F.col("b_.high")).alias("high_"), rank.alias("rank_"))
+    each = each.select(
+        *group, "n_", "place_",
+        F.when(few | (F.col("b_.q") <= 2e-3), F.col("least_")).otherwise(F.col("b_.low")).alias("low_"),
+        F.when(few | (F.col("b_.q") >= 1 - 2e-3), F.col("most_")).otherwise(F.col("b_.high")).alias("high_"),
+        rank.alias("rank_"),
+    )
     joined = v.join(each, group) if group else v.crossJoin(F.broadcast(each))
     held = joined.where(F.col("v_") <= F.col("high_")).groupBy(*group, "place_", "rank_", F.when(F.col("v_") >= F.col("low_"), F.col("v_")).alias("v_")).agg(F.count("*").alias("c_"))
     upto = F.sum("c_").over(W.partitionBy(*group, "place_").orderBy(F.asc_nulls_first("v_")).rowsBetween(W.unboundedPreceding, W.currentRow))

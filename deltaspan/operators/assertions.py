@@ -19,7 +19,10 @@ def pair_counts(obs: DataFrame) -> DataFrame:
 
 def pair_counts_by(obs: DataFrame, *keys: str) -> DataFrame:
     passed = lambda p: F.coalesce(F.sum(F.when(p, F.col("IsTrue"))), F.lit(0)).cast("long")
-    return obs.dropna(subset=list(keys)).groupBy(*keys).agg(passed(previous()).alias("y_prev"), F.count_if(previous()).alias("n_prev"), passed(following()).alias("y_next"), F.count_if(following()).alias("n_next"))
+    return obs.dropna(subset=list(keys)).groupBy(*keys).agg(
+        passed(previous()).alias("y_prev"), F.count_if(previous()).alias("n_prev"), passed(following()).alias("y_next"),
+        F.count_if(following()).alias("n_next"),
+    )
 
 
 def run_counts(obs: DataFrame) -> DataFrame:
@@ -50,4 +53,7 @@ def lift_distribution(counts: DataFrame) -> DataFrame:
     lift = div(F.col("y_next"), F.col("n_next")) - div(F.col("y_prev"), F.col("n_prev"))
     rows = counts.withColumn("lift", lift).where("lift is not null")
     q = F.percentile("lift", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return rows.groupBy("AssertionId").agg(F.count("*").alias("n_pairs"), F.avg("lift").alias("mean_lift"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.avg((F.col("lift") > 0).cast("double")).alias("improved"), F.avg((F.col("lift") < 0).cast("double")).alias("worse"))
+    return rows.groupBy("AssertionId").agg(
+        F.count("*").alias("n_pairs"), F.avg("lift").alias("mean_lift"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"),
+        F.avg((F.col("lift") > 0).cast("double")).alias("improved"), F.avg((F.col("lift") < 0).cast("double")).alias("worse"),
+    )

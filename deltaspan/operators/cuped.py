@@ -39,7 +39,9 @@ def _theta(cases: DataFrame) -> DataFrame:
     x = F.col("X_baseline")
     centre = cases.groupBy("LLMScore").agg(div(F.sum(x * F.col("n")), F.sum("n")).alias("centre"), F.avg(x).alias("mean_X_baseline"), F.sum("rows").alias("N_rows_prev"))
     off = F.col("n") * F.pow(x - F.col("centre"), 2)
-    t = cases.join(centre, "LLMScore").groupBy("LLMScore", "mean_X_baseline", "N_rows_prev").agg(F.sum("n").alias("n"), F.sum(off).alias("between"), F.sum(F.col("n") * F.col("spread")).alias("within"))
+    t = cases.join(centre, "LLMScore").groupBy("LLMScore", "mean_X_baseline", "N_rows_prev").agg(
+        F.sum("n").alias("n"), F.sum(off).alias("between"), F.sum(F.col("n") * F.col("spread")).alias("within"),
+    )
     var_x, var_y = div(F.col("between"), F.col("n")), div(F.col("between") + F.col("within"), F.col("n"))
     # The covariance of X and Value is the variance of X.
     return t.withColumn("var_X", var_x).withColumn("cov", F.col("var_X")).withColumn("corr_XY", div(F.col("cov"), F.sqrt(F.col("var_X") * var_y)))
@@ -98,4 +100,8 @@ def summary(cases: DataFrame) -> DataFrame:
     d = F.col("Diff")
     sd = F.stddev_samp(d)
     before = F.avg("Prev_CUPED_Mean")
-    return cases.groupBy("LLMScore").agg(F.avg(d).alias("mean_diff"), F.when(sd > 0, div(F.avg(d), sd)).alias("cohens_d"), (div(F.avg("Next_CUPED_Mean"), before) - 1).alias("percent_change"), improved(d).alias("share_improved"), F.count(d).alias("n_cases"))
+    return cases.groupBy("LLMScore").agg(
+        F.avg(d).alias("mean_diff"), F.when(sd > 0, div(F.avg(d), sd)).alias("cohens_d"),
+        (div(F.avg("Next_CUPED_Mean"), before) - 1).alias("percent_change"),
+        improved(d).alias("share_improved"), F.count(d).alias("n_cases"),
+    )

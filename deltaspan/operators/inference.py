@@ -45,4 +45,8 @@ def sensitivity(cases: DataFrame, obs: DataFrame) -> DataFrame:
     both = case_intersection(obs).select("TestCaseId", F.lit(True).alias("both_"))
     rows = _cut(cases, exact_quantiles(cases, ["LLMScore"], "Diff", [0.025, 0.975, 0.5], "b_")).join(both, "TestCaseId", "left")
     d, shared = F.col("Diff"), F.when(F.col("both_"), F.col("Diff"))
-    return rows.groupBy("LLMScore").agg(F.avg(d).alias("mean_diff"), F.count(d).alias("n_cases"), F.avg(shared).alias("mean_diff_intersection"), F.when(F.count("both_") > 0, F.count(shared)).alias("n_cases_intersection"), F.avg("Diff_winsor").alias("mean_diff_winsor"), F.max(F.col("b_")[2]).alias("median_diff"))
+    return rows.groupBy("LLMScore").agg(
+        F.avg(d).alias("mean_diff"), F.count(d).alias("n_cases"), F.avg(shared).alias("mean_diff_intersection"),
+        F.when(F.count("both_") > 0, F.count(shared)).alias("n_cases_intersection"),
+        F.avg("Diff_winsor").alias("mean_diff_winsor"), F.max(F.col("b_")[2]).alias("median_diff"),
+    )

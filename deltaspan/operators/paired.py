@@ -33,7 +33,10 @@ def paired_adjusted(p: DataFrame) -> DataFrame:
 
 def paired_cuped(p: DataFrame) -> DataFrame:
     """Per metric: delta, se, theta, var_D, var_D_star, variance_reduction, rho, ess_gain = 1 / (1 - rho^2), n."""
-    a = paired_adjusted(p).groupBy("LLMScore").agg(F.avg("D_star").alias("delta"), F.sqrt(F.var_samp("D_star") / F.count("*")).alias("se"), F.first("theta").alias("theta"), F.var_samp("D").alias("var_D"), F.var_samp("D_star").alias("var_D_star"), corr(F.col("D"), F.col("Z")).alias("rho"), F.count("*").alias("n"))
+    a = paired_adjusted(p).groupBy("LLMScore").agg(
+        F.avg("D_star").alias("delta"), F.sqrt(F.var_samp("D_star") / F.count("*")).alias("se"), F.first("theta").alias("theta"),
+        F.var_samp("D").alias("var_D"), F.var_samp("D_star").alias("var_D_star"), corr(F.col("D"), F.col("Z")).alias("rho"), F.count("*").alias("n"),
+    )
     return a.withColumn("variance_reduction", 1 - div(F.col("var_D_star"), F.col("var_D"))).withColumn("ess_gain", div(F.lit(1.0), 1 - F.col("rho") * F.col("rho")))
 
 

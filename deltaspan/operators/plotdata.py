@@ -20,7 +20,10 @@ def kde(rows: DataFrame, value: str, groups: list[str], points: int = GRID, cut:
     spread have no density.
     """
     v = rows.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("v_"))
-    span = v.groupBy(*groups).agg((F.stddev_samp("v_") * F.pow(F.count("*").cast("double"), F.lit(-0.2))).alias("h_"), F.min("v_").alias("low_"), F.max("v_").alias("high_"), F.count("*").alias("n_")).where("h_ > 0")
+    span = v.groupBy(*groups).agg(
+        (F.stddev_samp("v_") * F.pow(F.count("*").cast("double"), F.lit(-0.2))).alias("h_"),
+        F.min("v_").alias("low_"), F.max("v_").alias("high_"), F.count("*").alias("n_"),
+    ).where("h_ > 0")
     low, high = F.col("low_") - cut * F.col("h_"), F.col("high_") + cut * F.col("h_")
     joined = v.join(span, groups) if groups else v.join(F.broadcast(span))
     at = joined.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", low + (high - low) * F.col("i") / (points - 1))

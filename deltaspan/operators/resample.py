@@ -103,4 +103,7 @@ def describe(reps: DataFrame) -> DataFrame:
     """count, mean, std, min, p2_5, p50, p97_5, max of the replicates."""
     x = F.col("boot_mean")
     q = F.percentile(x, F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    return reps.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q[0].alias("p2_5"), q[1].alias("p50"), q[2].alias("p97_5"), F.max(x).alias("max"))
+    return reps.agg(
+        F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q[0].alias("p2_5"),
+        q[1].alias("p50"), q[2].alias("p97_5"), F.max(x).alias("max"),
+    )

@@ -45,7 +45,11 @@ def runs(t: DataFrame, period: str, c: Config = Config()) -> DataFrame:
     p = F.col("p_prev" if period == "Previous" else "p_next")
     each = t.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     run_id = F.col("pair") * (c.runs_prev + c.runs_next) + first + F.col("run") + 1
-    return each.select(run_id.cast("string").alias("RunId"), "TestCaseId", "AssertionId", (uniform(c.seed, F.col("pair"), period, F.col("run")) < p).cast("int").alias("IsTrue"), F.lit(period).alias("Period"))
+    return each.select(
+        run_id.cast("string").alias("RunId"), "TestCaseId", "AssertionId",
+        (uniform(c.seed, F.col("pair"), period, F.col("run")) < p).cast("int").alias("IsTrue"),
+        F.lit(period).alias("Period"),
+    )
 
 
 def simulate(spark: SparkSession, c: Config = Config()) -> tuple[DataFrame, DataFrame, DataFrame]:

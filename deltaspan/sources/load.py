@@ -76,7 +76,11 @@ def scores(df: DataFrame, path: str = "", strict: bool = True) -> DataFrame:
     kind = df.schema["Value"].dataType.typeName()
     value = F.col("Value").cast("double") if kind in ("boolean", "double", "float", "integer", "long") or kind.startswith("decimal") else numeric(untoken(F.col("Value")))
     value = F.when(~F.isnan(value), value)
-    out = df.drop("TrialId").select(F.col("RunId").cast("string"), untoken(F.col("TestCaseId").cast("string")).alias("TestCaseId"), untoken(F.col("LLMScore").cast("string")).alias("LLMScore"), value.alias("Value"), F.col("Value").cast("string").alias("given"))
+    out = df.drop("TrialId").select(
+        F.col("RunId").cast("string"),
+        untoken(F.col("TestCaseId").cast("string")).alias("TestCaseId"),
+        untoken(F.col("LLMScore").cast("string")).alias("LLMScore"), value.alias("Value"), F.col("Value").cast("string").alias("given"),
+    )
     if strict:
         _fail_on(out, F.col("Value").isNull(), ["TestCaseId", "LLMScore", "given"], "values that aren't numbers in", path)
         _fail_on(out, F.col("LLMScore").isNull(), ["TestCaseId", "RunId"], "rows without a metric in", path)
@@ -86,7 +90,11 @@ def scores(df: DataFrame, path: str = "", strict: bool = True) -> DataFrame:
 def assertions(df: DataFrame, path: str = "", strict: bool = True) -> DataFrame:
     """RunId, TestCaseId, AssertionId, IsTrue (0 or 1) of an assertions table."""
     require(df, ASSERTION_COLUMNS, path)
-    out = df.select(*[F.col(c).cast("string").alias(c) for c in ASSERTION_COLUMNS[:3]], (F.col("IsTrue").cast("int") if df.schema["IsTrue"].dataType.typeName() == "boolean" else binary(untoken(F.col("IsTrue")))).alias("IsTrue"), F.col("IsTrue").cast("string").alias("given"))
+    out = df.select(
+        *[F.col(c).cast("string").alias(c) for c in ASSERTION_COLUMNS[:3]],
+        (F.col("IsTrue").cast("int") if df.schema["IsTrue"].dataType.typeName() == "boolean" else binary(untoken(F.col("IsTrue")))).alias("IsTrue"),
+        F.col("IsTrue").cast("string").alias("given"),
+    )
     if strict:
         _fail_on(out, F.col("IsTrue").isNull(), ["TestCaseId", "AssertionId", "given"], "entries that are neither true nor false in", path)
     return out.drop("given")
