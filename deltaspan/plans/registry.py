@@ -103,8 +103,8 @@ def _pooled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, d: str, **more) -> DataFrame:
-    """Draws for the assertions' counts: whole chains with fixed seeds."""
-    return bayes.sample(spark, a.pair_counts(adapters.lineitem(spark, d)), **more)
+    """Scalars of the draws for the assertions' counts: whole chains with fixed seeds."""
+    return bayes.sample(spark, a.pair_counts(adapters.lineitem(spark, d)), vectors=False, **more)
 
 
 PAIRS_SQL = (
@@ -459,7 +459,7 @@ add("rate_difference", lambda s, d: bayes.rate_difference(bayes.mean_rates(_mode
 add("posterior_summary", lambda s, d: bayes.scalar_summary(_model(s, d)))
 add("posterior_lift", lambda s, d: bayes.predictive(_model(s, d), 0.3))
 add("violins", lambda s, d: plotdata.violins(bayes.melted(bayes.mean_rates(_model(s, d)))))
-add("top_pairs", lambda s, d: plotdata.forest(bayes.pair_summary(_model(s, d), a.pair_counts(adapters.lineitem(s, d)))))
+add("top_pairs", lambda s, d: bayes.top_pairs_of(s, a.pair_counts(adapters.lineitem(s, d))))
 add("simulate_truth", lambda s, d: simulate.truth(s).drop("pair"), sql(SIM_SQL, "from truth", "eta_prev p_prev tau_j eta_next p_next true_delta", "TestCaseId AssertionId"))
 add(
     "simulate_means", lambda s, d: simulate.population(simulate.truth(s)),
