@@ -5,7 +5,8 @@ import pytest
 from compare import DATA
 from pyspark.sql import functions as F
 
-from deltaspan.operators import bayes
+from deltaspan.functions import numeric
+from deltaspan.operators import bayes, resample
 from deltaspan.plans import registry
 
 COUNTS = "TestCaseId string, AssertionId string, y_prev bigint, n_prev bigint, y_next bigint, n_next bigint"
@@ -51,3 +52,28 @@ def test_top_pairs_without_a_table_of_all_draws(spark):
 def test_queries_of_the_model_draw_no_vectors(spark):
     assert not [t for _, t in registry._model(spark, str(DATA)).dtypes if t.startswith("array")]
     assert registry.QUERIES["mean_rates"](spark, str(DATA)).agg(F.count("*")).first()[0] == 4_000
+
+
+def test_draws_in_arrays_are_those_of_the_columns(spark, monkeypatch):
+    n, states = 1_000, [(5, 7), (2**28 - 1, 2**28 - 1), (0, 0)]
+    table = spark.range(n).withColumn("slot", F.col("id"))
+    monkeypatch.setattr(resample, "SLOTS", 64)
+    monkeypatch.setattr(resample, "_STRIDES", np.arange(64) * numeric.STRIDE)
+    values = np.arange(n) ** 1.5
+    for one, two in states:
+        want = np.array([r[0] for r in table.select(numeric.draw_place(F.lit(n), (F.lit(one), F.lit(two)), F.col("slot"))).collect()])
+        assert resample.drawn_sum(values, 0, n, one, two) == (pytest.approx(values[want].sum()), n)
+        part = want[(want >= 300) & (want < 500)]
+        assert resample.drawn_sum(values[300:500], 300, n, one, two) == (pytest.approx(values[part].sum()), len(part))
+
+
+def test_replicates_of_a_group_in_several_arrays(spark, monkeypatch):
+    cases = spark.createDataFrame([(m, f"c{i:02d}", float(i * i % 17)) for m in "ab" for i in range(30)], "LLMScore string, TestCaseId string, Diff double")
+    want = {r.rep: r.boot_mean for r in resample.pooled_replicates(cases, 250).collect()}
+    monkeypatch.setattr(resample, "HELD", 10)
+    monkeypatch.setattr(resample, "CHUNK", 7)
+    pooled = resample.pooled_replicates(cases, 250)
+    # Arrays of at most CHUNK places stand for the group; no row for each draw.
+    arrays = resample._chunks(cases.select(F.lit("p").alias("group_"), "LLMScore", "TestCaseId", "Diff", F.lit(0).alias("range_"), F.lit(60).alias("n")))
+    assert sorted((r.start, len(r["values"])) for r in arrays.collect()) == [(7 * i, 7) for i in range(8)] + [(56, 4)]
+    assert {r.rep: r.boot_mean for r in pooled.collect()} == pytest.approx(want, abs=1e-12) and len(want) == 250
