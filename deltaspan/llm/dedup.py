@@ -249,8 +249,9 @@ def full_sets(need: DataFrame, classes: DataFrame, docs: DataFrame, c: Config, i
     if need.count() <= c.broadcast_rows:
         lows = F.broadcast(lows)
     some = docs.select(F.col(f"`{id_col}`").cast("long").alias("t_id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(lows, F.col("t_id") == F.col("n_id"), "left_semi")
-    found = prints(some, c, "t_id", "text").withColumnRenamed("print", "p_")
-    found = found.join(need, (F.col("doc_id") == F.col("low")) & (F.col("p_") == F.col("print"))).select("rep", "held").dropDuplicates(["rep"])
+    # Equal rows are dropped by what the join goes by, so the sets are dealt out once.
+    found = prints(some, c, "t_id", "text").withColumnRenamed("print", "p_").dropDuplicates(["doc_id", "p_"])
+    found = found.join(need, (F.col("doc_id") == F.col("low")) & (F.col("p_") == F.col("print"))).select("rep", "held")
     path = f"{checkpoint_dir(spark)}/sets_{uuid.uuid4().hex}"
     found.write.parquet(path)
     return spark.read.parquet(path)
@@ -288,10 +289,12 @@ def hot_leaders(pairs: DataFrame) -> DataFrame:
 
 def similar(pairs: DataFrame, classes: DataFrame, c: Config) -> DataFrame:
     """Pairs (lead, rep) whose estimate is not clearly below the similarity. `pairs` is checkpointed."""
-    one = classes.select(F.col("rep").alias("lead"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    two = classes.select("rep", F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    both = with_hot(pairs.join(two, "rep"), one, "lead", hot_leaders(pairs).select("lead"))
-    joined = both.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * c.similarity)
+    # Names change behind the joins only, so that both read one exchange of the sketches.
+    one = classes.select("rep", "n", "sketch")
+    two = pairs.join(one, "rep").select("lead", F.col("rep").alias("rep_b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    both = with_hot(two.withColumnRenamed("lead", "rep"), one, "rep", hot_leaders(pairs).select(F.col("lead").alias("rep")))
+    joined = both.select(F.col("rep").alias("lead"), F.col("rep_b").alias("rep"), F.col("n").alias("na"), F.col("sketch").alias("sa"), "nb", "sb")
+    joined = joined.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * c.similarity)
     least = lowest(c)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,10 +320,10 @@ def verified(pairs: DataFrame, sets: DataFrame, c: Config) -> DataFrame:
     count = pairs.groupBy("lead").agg(F.ceil(F.count("*") / F.lit(c.chunk)).cast("int").alias("chunks"))
     hot = hot_leaders(pairs).select("lead")
     dealt = with_hot(pairs, count, "lead", hot).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    members = dealt.join(sets, "rep").select("lead", "chunk", "rep", "held")
-    heads = count.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(sets.withColumnRenamed("rep", "lead"), "lead").select(
-        "lead", "chunk", F.lit(None).cast("long").alias("rep"), "held",
-    )
+    heads = count.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    # Leaders and members meet the sets in one join.
+    wanted = dealt.select("lead", "chunk", "rep", F.col("rep").alias("whose")).unionByName(heads.select("lead", "chunk", F.lit(None).cast("long").alias("rep"), F.col("lead").alias("whose")))
+    met = wanted.join(sets.withColumnRenamed("rep", "whose"), "whose")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = np.zeros(0, np.uint64)
@@ -338,7 +341,7 @@ def verified(pairs: DataFrame, sets: DataFrame, c: Config) -> DataFrame:
                         found.append((lead, rep))
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    stream = members.unionByName(heads).repartition(F.col("lead"), F.col("chunk")).sortWithinPartitions("lead", "chunk", F.asc_nulls_first("rep"))
+    stream = met.select("lead", "chunk", "rep", "held").repartition(F.col("lead"), F.col("chunk")).sortWithinPartitions("lead", "chunk", F.asc_nulls_first("rep"))
     return stream.select("lead", "rep", "held").mapInArrow(checked, "a bigint, b bigint")
 
 
@@ -390,10 +393,12 @@ def components(edges: DataFrame, one_task: int = 400_000) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-def mixed_buckets(keys: DataFrame, buckets: DataFrame, parts: DataFrame, limit: int) -> DataFrame:
-    """key, rep, comp of buckets that span several components; in a bucket of two its leader has seen the other."""
-    hot = buckets.where(F.col("size") > limit).select("key")
-    members = with_hot(keys, buckets.where("size > 2").select("key"), "key", hot).join(parts, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+def mixed_buckets(shared: DataFrame, parts: DataFrame, limit: int) -> DataFrame:
+    """key, rep, comp of buckets that span several components; in a bucket of two its leader has seen the other.
+
+    `shared` (key, rep, size) holds the buckets of several classes.
+    """
+    members = shared.where("size > 2").join(parts, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     mixed = checkpoint(members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y").select("key", "size"))
     return checkpoint(with_hot(members, mixed.select("key"), "key", mixed.where(F.col("size") > limit).select("key")))
 
@@ -514,13 +519,15 @@ def near_duplicates(docs: DataFrame, config: Config | None = None, *, id_col: st
     limit = frequent(keys.count())
     buckets = checkpoint(keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep"))["rep"].alias("leader"), F.count("*").alias("size")).where("size > 1"))
     # A leader has the smallest hash of its bucket, so a pair comes in one direction only.
-    pairs = with_hot(keys, buckets.select("key", "leader"), "key", buckets.where(F.col("size") > limit).select("key"))
-    pairs = checkpoint(pairs.where("rep <> leader").select(F.col("leader").alias("lead"), "rep").distinct())
+    # Keys are dealt out for this once: later steps need those of shared buckets only.
+    with_hot(keys, buckets, "key", buckets.where(F.col("size") > limit).select("key")).write.parquet(f"{path}/shared")
+    shared = spark.read.parquet(f"{path}/shared")
+    pairs = checkpoint(shared.where("rep <> leader").select(F.col("leader").alias("lead"), "rep").distinct())
     tried = checkpoint(similar(pairs, classes, c))
     need = tried.select(F.explode(F.array("lead", "rep")).alias("rep"))
     edges = checkpoint(verified(tried, full_sets(need, classes, docs, c, id_col, text_col), c))
     parts = components(edges)
-    rows = mixed_buckets(keys, buckets, parts, limit)
+    rows = mixed_buckets(shared, parts, limit)
     if not rows.isEmpty():
         found = checkpoint(exact(rows, classes, docs, c, id_col, text_col))
         if not found.isEmpty():
