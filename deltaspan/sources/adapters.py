@@ -30,12 +30,12 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assertions: suppliers by line number, whether returned, before and from 1998-07-01."""
+def lineitem(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
+    """Assertions: suppliers by line number, whether returned, before and from 1998-07-01; without `text` keys stay the numbers they are, which group faster."""
     x = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    key = lambda name: F.col(name).cast("string") if text else F.col(name)
     return x.select(
-        F.col("l_orderkey").cast("string").alias("RunId"), F.col("l_suppkey").cast("string").alias("TestCaseId"),
-        F.col("l_linenumber").cast("string").alias("AssertionId"), (F.col("l_returnflag") == "R").cast("int").alias("IsTrue"),
+        key("l_orderkey").alias("RunId"), key("l_suppkey").alias("TestCaseId"), key("l_linenumber").alias("AssertionId"), (F.col("l_returnflag") == "R").cast("int").alias("IsTrue"),
         _period(F.col("l_shipdate").cast("date") < F.lit("1998-07-01").cast("date")),
     )
 
