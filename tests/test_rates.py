@@ -85,3 +85,20 @@ def test_counts_by_numbers_are_those_by_text(spark, tmp_path):
     assert mine.columns == text.columns and mine.dtypes == text.dtypes
     assert sorted(mine.collect()) == sorted(text.collect()) and mine.count() == 39
     assert "lp" not in registry._model(spark, str(tmp_path), draws=5, warmup=5, chains=1).columns
+
+
+def _both(spark, summary):
+    """The summary of a model beyond SMALL with the draws' density and without it."""
+    counts = spark.range(60_000).selectExpr("cast(id as string) as TestCaseId", "'a' as AssertionId", "id * 7 % 6 as y_prev", "5L as n_prev", "(id * 11 + 1) % 5 + 1 as y_next", "5L as n_next")
+    assert counts.count() > bayes.SMALL
+    return [summary(bayes.sample(spark, counts, 2, 200, 200, vectors=False, density_too=too)).first() for too in (True, False)]
+
+
+def _same(one, other):
+    spread = one["ci_hi"] - one["ci_lo"]
+    assert all(other[k] == pytest.approx(one[k], abs=0.4 * spread) for k in ("mean", "ci_lo", "ci_hi")) and spread > 0
+    assert other["prob_positive"] == one["prob_positive"] == 1.0
+
+
+def test_posterior_summary_of_a_large_model_without_density(spark):
+    _same(*_both(spark, bayes.scalar_summary))
