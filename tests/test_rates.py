@@ -102,3 +102,7 @@ def _same(one, other):
 
 def test_posterior_summary_of_a_large_model_without_density(spark):
     _same(*_both(spark, bayes.scalar_summary))
+
+
+def test_rate_difference_of_a_large_model_without_density(spark):
+    _same(*_both(spark, lambda draws: bayes.rate_difference(bayes.mean_rates(draws))))
